@@ -26,7 +26,7 @@ def leaf(text: Column) -> Column:
 
 def is_empty(text: Column) -> Column:
     """Null, or neither a line of program nor a word of prose: blanks, punctuation, a bare code fence."""
-    return text.isNull() | ~F.regexp_replace(text, FENCE, "").rlike(r"[\p{L}\p{N}]")
+    return text.isNull() | ~(F.left(F.ltrim(text), F.lit(1)).rlike("[A-Za-z0-9]") | F.regexp_replace(text, FENCE, "").rlike(r"[\p{L}\p{N}]"))
 
 
 def canonical(text: Column) -> Column:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corvane.llm import merkle, tokens
+from corvane.llm import merkle, pairs, tokens, truncation
 
-MODULES = (merkle, tokens)
+MODULES = (merkle, truncation, pairs, tokens)
 
 
 def queries() -> dict:
