@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corvane.llm import merkle, pairs, tokens, truncation
+from corvane.llm import merkle, pairs, spans, tokens, truncation
 
-MODULES = (merkle, truncation, pairs, tokens)
+MODULES = (merkle, spans, truncation, pairs, tokens)
 
 
 def queries() -> dict:
