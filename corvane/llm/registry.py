@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corvane.llm import merkle, pairs, spans, tokens, truncation
+from corvane.llm import merkle, metric_join, overlap, pairs, spans, tokens, truncation
 
-MODULES = (merkle, spans, truncation, pairs, tokens)
+MODULES = (metric_join, merkle, spans, truncation, overlap, pairs, tokens)
 
 
 def queries() -> dict:
