@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corvane.llm import merkle, metric_join, overlap, pairs, spans, tokens, truncation
+from corvane.llm import merkle, metric_join, mixing, overlap, pairs, spans, subjects, tokens, truncation
 
-MODULES = (metric_join, merkle, spans, truncation, overlap, pairs, tokens)
+MODULES = (metric_join, merkle, spans, truncation, overlap, pairs, tokens, mixing, subjects)
 
 
 def queries() -> dict:
