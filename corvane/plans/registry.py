@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-MODULES = ()
+from corvane.plans import pool
+
+MODULES = (pool,)
 
 
 def queries() -> dict:
