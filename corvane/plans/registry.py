@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corvane.plans import pool
+from corvane.plans import evaluation, pool
 
-MODULES = (pool,)
+MODULES = (pool, evaluation)
 
 
 def queries() -> dict:
