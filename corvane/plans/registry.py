@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corvane.plans import evaluation, pool
+from corvane.plans import evaluation, language, pool
 
-MODULES = (pool, evaluation)
+MODULES = (pool, evaluation, language)
 
 
 def queries() -> dict:

@@ -58,11 +58,3 @@ def markdown(report: DataFrame, limit: int = 1000) -> str:
 
 def write_by(rows: DataFrame, path: str, column: str) -> None:
     rows.write.mode("overwrite").partitionBy(column).parquet(path)
-
-
-def entries(spark: SparkSession, text: DataFrame) -> DataFrame:
-    """(op, superclasses, ..) of operation records in JSON dumps of (source, json): a record is an operation if it derives from Op."""
-    records = text.select("source", F.explode(F.from_json("json", "map<string,string>")).alias("name", "body")).filter("name not like '!%'")
-    parsed = records.select("source", "name", F.from_json("body", "`!superclasses` array<string>, opName string, opDialect struct<`def`: string>, summary string, arguments struct<args: array<array<string>>>, results struct<args: array<array<string>>>, traits array<struct<`def`: string>>").alias("r"))
-    is_op = F.exists(F.col("r")["!superclasses"], lambda c: (c == "Op") | c.startswith("Op<"))
-    return parsed.filter(is_op).select("source", "name", "r.opName", F.col("r.opDialect.def").alias("dialect"), "r.summary", F.transform("r.traits", lambda t: t["def"]).alias("traits"), F.size("r.arguments.args").alias("n_operands"), F.size("r.results.args").alias("n_results"))
