@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from corvane.llm.merkle import FENCE, is_empty
 from corvane.llm.truncation import answers, is_program, judged
-from corvane.store import table
+from corvane.store import table, written
 
 PER_LANGUAGE, BUCKETS, MARGIN, LETTERS = 400, 1 << 14, 6.0, 12
 COPY_SHARE = 0.55
@@ -119,11 +119,6 @@ def bigrams(text: Column) -> Column:
     return F.when(F.size(w) < 2, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat_ws(" ", F.get(w, i - 1), F.get(w, i)))))
 
 
-def copies(answer: Column, question: Column) -> Column:
-    a = bigrams(answer)
-    return F.coalesce(F.size(F.array_intersect(a, bigrams(question))) >= F.greatest(F.lit(3), F.size(a)) * COPY_SHARE, F.lit(False))
-
-
 def refuses(text: Column) -> Column:
     words = F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), "[’‘]", "'"), r"(?m)^\s*//\s*", ""))
     hit = F.lit(False)
@@ -132,15 +127,25 @@ def refuses(text: Column) -> Column:
     return hit
 
 
+def looked_at(rows: DataFrame) -> DataFrame:
+    """One pass over the texts: (row_id, nl, text) -> row_id, nl, empty, copy, refuse and the prose whose language is asked for.
+
+    The costly parts are computed once a row, and only for answers that can need them."""
+    t = F.coalesce("text", F.lit(""))
+    one = rows.select("row_id", "nl", t.alias("t"), is_empty(F.col("text")).alias("empty"), is_program(t).alias("program"))
+    talk = ~F.col("empty") & ~F.col("program")
+    two = one.withColumn("a", F.when(talk, bigrams(F.col("t")))).withColumn("b", F.when(talk, bigrams(F.col("nl"))))
+    three = two.withColumn("copy", F.coalesce(F.size(F.array_intersect("a", "b")) >= F.greatest(F.lit(3), F.size("a")) * COPY_SHARE, F.lit(False))).drop("a", "b")
+    bare = F.col("t").startswith("module") & F.col("t").endswith("}") & ~F.col("t").contains("//")
+    four = three.withColumn("refuse", F.when(talk & ~F.col("copy"), refuses(F.col("t"))).otherwise(False))
+    return written(four.select("row_id", "nl", "empty", "copy", "refuse", F.when(~F.col("empty") & ~F.col("copy") & ~F.col("refuse") & ~bare, own_words(F.col("t"))).alias("prose")), "answers")
+
+
 def defects(rows: DataFrame, cut: DataFrame, docs: DataFrame) -> DataFrame:
     """(row_id, nl, text) and the cut rows' ids -> (row_id, defect)."""
-    t = F.coalesce("text", F.lit(""))
-    flags = rows.join(cut.select("row_id", F.lit(True).alias("is_cut")), "row_id", "left")
-    base = flags.select(
-        "row_id", "nl", F.when(is_empty(F.col("text")), "empty").when(F.col("is_cut"), "truncated").when(~is_program(t) & ~copies(t, F.col("nl")) & refuses(t), "refusal").when(~is_program(t) & copies(t, F.col("nl")), "copies_question").alias("defect"), "text"
-    )
-    bare = t.startswith("module") & t.endswith("}") & ~t.contains("//")
-    asked = base.filter(F.col("defect").isNull() & ~bare).withColumn("prose", own_words(t)).filter(F.col("prose").rlike(r"\p{L}"))
+    flags = looked_at(rows).join(cut.select("row_id", F.lit(True).alias("is_cut")), "row_id", "left")
+    base = flags.select("row_id", "nl", "prose", F.when(F.col("empty"), "empty").when(F.col("is_cut"), "truncated").when(F.col("refuse"), "refusal").when(F.col("copy"), "copies_question").alias("defect"))
+    asked = base.filter(F.col("defect").isNull() & F.col("prose").rlike(r"\p{L}"))
     foreign = asked.filter(differs(fit_languages(docs))("prose", "nl")).select("row_id", F.lit("other_language").alias("defect"))
     return base.filter("defect is not null").select("row_id", "defect").unionByName(foreign)
 
