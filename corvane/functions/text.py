@@ -226,7 +226,7 @@ def split_cases(s: Column) -> Column:
 
 
 def check_hints(s: Column) -> Column:
-    lines = F.transform(F.split(s, "\r?\n"), F.trim)
+    lines = F.transform(F.split(s, "\r?\n"), lambda x: F.trim(x))
     return F.transform(F.filter(lines, lambda x: x.rlike(DIRECTIVE) & ~x.rlike(r"//\s*RUN:")), lambda x: F.trim(F.regexp_extract(x, DIRECTIVE, 2)))
 
 

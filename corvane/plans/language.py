@@ -233,7 +233,7 @@ SQL = {
     "pair_differences": "SELECT a.vec_id AS a, b.vec_id AS b, round(list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: (a.embedding[i] - b.embedding[i])::DOUBLE * (a.embedding[i] - b.embedding[i]))), 3) AS sq FROM embeddings a JOIN embeddings b ON a.vec_id % 2 = 0 AND b.vec_id = a.vec_id + 1",
     "patch_recovery": "SELECT gen_id, round(CASE WHEN dt - 0.3 > 0.1 THEN ((dt + 0.3) / 2 - 0.3) / (dt - 0.3) END, 6) AS recovery FROM gen_out WHERE dt IS NOT NULL",
     "number_outputs": f"WITH j AS (SELECT gen_id, {_NUMS.format(c='generated')} AS x, {_NUMS.format(c='text')} AS y FROM ladder JOIN gen_out USING (gen_id) WHERE generated IS NOT NULL AND text IS NOT NULL) SELECT gen_id, len(x) AS n, len(x) = len(y) AND len(list_filter(range(1, len(x) + 1), lambda i: NOT (x[i] = y[i] OR abs(x[i] - y[i]) <= 1e-5 + 1e-4 * greatest(abs(x[i]), abs(y[i]))))) = 0 AS same FROM j",
-    "content_keys": "SELECT row_id, sha256(mlir::BLOB || '\\x00'::BLOB || '--verify'::BLOB) AS key FROM train_v1 WHERE mlir IS NOT NULL",
+    "content_keys": "SELECT row_id, sha256(encode(mlir) || '\\x00'::BLOB || encode('--verify')) AS key FROM train_v1 WHERE mlir IS NOT NULL",
     "jsonl_round_trip": "SELECT prompt_id, pool, dialect, source, nl, gold_mlir FROM eval_pool",
     "resumed_log": "SELECT model, pool, count(*) AS n FROM (SELECT DISTINCT model, pool, constraint_stack, prompt_id FROM ladder) GROUP BY 1, 2",
     "upserted_cells": "SELECT pool, method, count(*) + CASE WHEN pool = 'spec_mix' THEN 1000 ELSE 0 END AS n FROM ladder GROUP BY 1, 2",
