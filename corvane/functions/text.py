@@ -6,6 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once. Inside the lambda of a higher-order function an expression is computed for
+    every element; a lambda's own variable isn't."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
 def norm_nl(s: Column) -> Column:
     """Lower case, backticks dropped, anything but [a-z0-9%?<>.] a space, single spaces."""
     return F.trim(F.regexp_replace(F.regexp_replace(F.replace(F.lower(s), F.lit("`"), F.lit("")), r"[^a-z0-9%?<>.]", " "), " +", " "))
@@ -15,17 +21,17 @@ def norm_mlir(s: Column) -> Column:
     """Comments dropped, functions @F, values renamed by first occurrence, punctuation tightened, single spaces."""
     t = F.regexp_replace(F.regexp_replace(s, r"//[^\n]*", ""), r"@[A-Za-z_][A-Za-z0-9_]*", "@F")
     value = r"%[A-Za-z0-9_#$.]+"
-    names = F.regexp_extract_all(t, F.lit(value), F.lit(0))
-    order = F.array_distinct(names)
-    parts = F.split(t, value, -1)
-    renamed = F.array_join(F.transform(parts, lambda p, i: F.concat(p, F.when(i < F.size(names), F.concat(F.lit("%v"), (F.array_position(order, F.get(names, i)) - 1).cast("string"))).otherwise(""))), "")
-    return F.trim(F.regexp_replace(F.regexp_replace(renamed, r"\s*([,:=\[\](){}<>])\s*", "$1"), r"\s+", " "))
+    number = lambda order, name: F.concat(F.lit("%v"), (F.array_position(order, name) - 1).cast("string"))
+    renamed = lambda t, names, order: F.array_join(F.transform(F.split(t, value, -1), lambda p, i: F.concat(p, F.when(i < F.size(names), number(order, F.get(names, i))).otherwise(""))), "")
+    text = let(t, lambda t: let(F.regexp_extract_all(t, F.lit(value), F.lit(0)), lambda names: let(F.array_distinct(names), lambda order: renamed(t, names, order))))
+    return F.trim(F.regexp_replace(F.regexp_replace(text, r"\s*([,:=\[\](){}<>])\s*", "$1"), r"\s+", " "))
 
 
 def grams(words: Column, n: int) -> Column:
     """The distinct runs of n successive words, joined by spaces."""
     none = F.array().cast("array<string>")
-    return F.when(F.size(words) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " ")))).otherwise(none)
+    runs = lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " ")))
+    return let(words, lambda w: F.when(F.size(w) >= n, runs(w)).otherwise(none))
 
 
 def word_grams(s: Column, n: int) -> Column:
@@ -102,9 +108,9 @@ def llvm_opcodes(s: Column) -> Column:
 def multiset_jaccard(a: Column, b: Column, both_empty: float = 1.0) -> Column:
     """Shared over joined counts of two arrays taken as multisets."""
     count = lambda x, v: F.size(F.filter(x, lambda e: e == v))
-    shared = F.aggregate(F.array_distinct(a), F.lit(0), lambda acc, v: acc + F.least(count(a, v), count(b, v)))
-    total = F.size(a) + F.size(b) - shared
-    return F.when(total == 0, both_empty).otherwise(shared / total)
+    shared = lambda x, y: F.aggregate(F.array_distinct(x), F.lit(0), lambda acc, v: acc + F.least(count(x, v), count(y, v)))
+    share = lambda x, y, s: F.when(F.size(x) + F.size(y) - s == 0, both_empty).otherwise(s / (F.size(x) + F.size(y) - s))
+    return let(a, lambda x: let(b, lambda y: let(shared(x, y), lambda s: share(x, y, s))))
 
 
 def values(s: Column) -> Column:

@@ -7,7 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.operators.split import folds, order_key
+from corvane.functions.text import let
+from corvane.operators.split import folds
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = 300, rate: float = 0.05, l2: float = 0.01) -> tuple[np.ndarray, float]:
@@ -47,8 +48,8 @@ def cross_validated(rows: DataFrame, cells: list[str], group: str, features: str
 
 def hashed_bag(ids: Column, buckets: int = 2048) -> Column:
     """array(bucket, log1p(count)) of token ids modulo buckets, by bucket; a sparse vector."""
-    b = F.transform(ids, lambda i: F.pmod(i, F.lit(buckets)))
-    return F.transform(F.array_sort(F.array_distinct(b)), lambda x: F.struct(x.alias("bucket"), F.log1p(F.size(F.filter(b, lambda y: y == x)).cast("double")).alias("weight")))
+    of = lambda b: F.transform(F.array_sort(F.array_distinct(b)), lambda x: F.struct(x.alias("bucket"), F.log1p(F.size(F.filter(b, lambda y: y == x)).cast("double")).alias("weight")))
+    return let(F.transform(ids, lambda i: F.pmod(i, F.lit(buckets))), of)
 
 
 def window_features(ids: Column, width: int = 4, buckets: int = 512) -> Column:

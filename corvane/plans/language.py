@@ -118,7 +118,7 @@ def legal_tokens(spark, d):
 def token_entropy(spark, d):
     n = F.size("tokens")
     buckets = F.transform("tokens", lambda t: F.pmod(t, F.lit(16)))
-    p = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda b: F.size(F.filter(buckets, lambda x: x == b)) / n)
+    p = T.let(buckets, lambda bs: F.transform(F.sequence(F.lit(0), F.lit(15)), lambda b: F.size(F.filter(bs, lambda x: x == b)) / F.size(bs)))
     return table(spark, d, "gen_out").filter(n > 0).select("gen_id", F.round(probe.entropy_bits(p), 6).alias("bits"))
 
 
