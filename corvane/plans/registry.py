@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corvane.plans import evaluation, language, pool
+from corvane.plans import evaluation, language, pool, relational
 
-MODULES = (pool, evaluation, language)
+MODULES = (pool, evaluation, language, relational)
 
 
 def queries() -> dict:
