@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.functions.text import let
 from corvane.store import table, written
 
 NODE = r"(?iU)\battributes\s*\{((?:[^{}]|\{[^{}]*\})*)\}"
@@ -32,9 +33,8 @@ def is_empty(text: Column) -> Column:
 def canonical(text: Column) -> Column:
     """array<array<string>>: ordered children; an unordered node has its sorted leaves, a run of text has one."""
     entries = lambda node: F.array_sort(F.filter(F.transform(F.split(node, ","), leaf), lambda e: e != ""))
-    nodes = F.regexp_extract_all(text, F.lit(NODE), F.lit(1))
-    runs = F.split(text, NODE, -1)
-    return F.transform(runs, lambda run, i: F.when(i < F.size(nodes), F.concat(F.array(F.concat(leaf(run), F.lit("attributes"))), entries(F.get(nodes, i)))).otherwise(F.array(leaf(run))))
+    child = lambda run, i, nodes: F.when(i < F.size(nodes), F.concat(F.array(F.concat(leaf(run), F.lit("attributes"))), entries(F.get(nodes, i)))).otherwise(F.array(leaf(run)))
+    return let(F.regexp_extract_all(text, F.lit(NODE), F.lit(1)), lambda nodes: F.transform(F.split(text, NODE, -1), lambda run, i: child(run, i, nodes)))
 
 
 def root(canon: Column) -> Column:
@@ -46,6 +46,7 @@ def root(canon: Column) -> Column:
 def collapse(rows: DataFrame) -> DataFrame:
     """(row_id, text) -> (first_row_id, row_id, copies) of each row in a group of two or more; copies counts the group's rows."""
     base = rows.filter(~is_empty(F.col("text"))).select("row_id", canonical(F.col("text")).alias("canon")).withColumn("digest", root(F.col("canon")))
+    base = written(base, "records")  # the forms are computed once; the grouping then reads digests only
     groups = base.groupBy("digest").agg(F.min("row_id").alias("first_row_id"), F.count("*").alias("copies")).filter("copies > 1")
     members = base.join(groups, "digest")
     firsts = members.filter("row_id = first_row_id").dropDuplicates(["first_row_id"]).select("digest", F.col("canon").alias("of_first"))
