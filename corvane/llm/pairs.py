@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.functions.text import grams
 from corvane.llm.merkle import FENCE, is_empty
 from corvane.llm.truncation import answers, is_program, judged
 from corvane.store import table, written
@@ -115,8 +116,8 @@ def differs(model: dict):
 
 
 def bigrams(text: Column) -> Column:
-    w = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)([\w.]*\w)"), F.lit(1))
-    return F.when(F.size(w) < 2, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat_ws(" ", F.get(w, i - 1), F.get(w, i)))))
+    """The distinct pairs of successive words."""
+    return grams(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_.]*[\p{L}\p{N}_])"), F.lit(1)), 2)
 
 
 def refuses(text: Column) -> Column:
