@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import bisect
+
 import pandas as pd
 from pyspark.sql import functions as F
 
+from corvane.functions import harness
 from corvane.functions import text as T
 from corvane.operators import generators, probe, split
 from corvane.sources import jsonl, sinks
@@ -212,16 +215,102 @@ def candidate_rows(spark, d):
     return jsonl.candidates(rows, None, "_ssd_", 0, ("c1_c2_c3",)).select("prompt_id", "row_id")
 
 
+def trial_inputs(spark, d):
+    """Per gold with a scalar signature and trial: the inputs drawn for it and the driver that runs it, as digests."""
+
+    @F.pandas_udf("inputs string, driver string")
+    def run(pid: pd.Series, trial: pd.Series, name: pd.Series, args: pd.Series, ret: pd.Series) -> pd.DataFrame:
+        rows = []
+        for p, k, n, a, r in zip(pid, trial, name, args, ret):
+            types = list(a)
+            values = harness.draws(str(p), int(k), types)
+            rows.append((repr(values), harness.driver(n, types, values, r)))
+        return pd.DataFrame(rows, columns=["inputs", "driver"])
+
+    sig = table(spark, d, "eval_pool").filter("gold_mlir is not null").select("prompt_id", T.public_signature(F.col("gold_mlir")).alias("s"))
+    scalar = sig.filter("s is not null and s.ret <> ''").filter(~F.exists("s.args", lambda a: a.startswith("memref")))
+    each = scalar.select("prompt_id", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("trial"), "s")
+    return each.select("prompt_id", "trial", run("prompt_id", "trial", "s.name", "s.args", "s.ret").alias("r")).select("prompt_id", "trial", F.md5("r.inputs").alias("inputs"), F.md5("r.driver").alias("driver"))
+
+
+def unwrapped_programs(spark, d):
+    """The function inside each program's module, by both rules for a module that never closes."""
+
+    @F.pandas_udf("stripped string, kept string")
+    def run(s: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"stripped": s.map(harness.unwrap_module), "kept": s.map(lambda t: harness.unwrap_module(t, "keep"))})
+
+    r = programs(spark, d).select("row_id", run("text").alias("r"))
+    return r.select("row_id", F.md5("r.stripped").alias("stripped"), (F.col("r.stripped") == F.col("r.kept")).alias("balanced"))
+
+
+def scope_events(spark, d):
+    """Uses and definitions with their places, and how many names are visible at each use."""
+
+    @F.pandas_udf("array<struct<kind: string, name: string, at: int, visible: int>>")
+    def run(s: pd.Series) -> pd.Series:
+        def one(text):
+            events = harness.scope_events(text)
+            defs = sorted(v for k, _, _, v in events if k == "def")
+            return [{"kind": k, "name": n, "at": a, "visible": bisect.bisect_right(defs, a)} for k, n, a, _ in events]
+
+        return s.map(one)
+
+    e = table(spark, d, "train_v1").filter("mlir is not null").select("row_id", F.explode(run("mlir")).alias("e")).select("row_id", "e.*")
+    return e.groupBy("row_id").agg(F.count_if(F.col("kind") == "use").alias("uses"), F.count_if(F.col("kind") == "def").alias("defs"), F.max("visible").alias("most_visible"))
+
+
+def corrupted_uses(spark, d):
+    """Each program with its last use renamed to another name of the program; the scope validator's verdict before and after."""
+
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        def one(text):
+            events = harness.scope_events(text)
+            uses = [a for k, _, a, _ in events if k == "use"]
+            return harness.corrupted(text, uses[-1], [*(n for _, n, _, _ in events), "nowhere"]) if uses else text
+
+        return s.map(one)
+
+    rows = table(spark, d, "train_v1").filter("mlir is not null").select("row_id", "mlir", run("mlir").alias("bad"))
+    check = as_udf(mlir.check)
+    return rows.select("row_id", (F.col("mlir") != F.col("bad")).alias("changed"), check("mlir")["passed"].alias("before"), check("bad")["passed"].alias("after"))
+
+
+def surface_baseline(spark, d):
+    """A one-rule baseline for parse_valid from surface features alone: the majority outcome of each (length band, ends in a brace) cell."""
+    rows = table(spark, d, "ladder").filter("generated is not null").select(F.floor(F.length("generated") / 200).alias("band"), F.rtrim("generated").endswith("}").alias("closed"), F.col("parse_valid").cast("int").alias("y"))
+    cell = rows.groupBy("band", "closed").agg(F.count("*").alias("n"), F.sum("y").alias("pos"))
+    return cell.agg(F.sum("n").alias("n"), F.round(F.sum(F.greatest("pos", F.col("n") - F.col("pos"))) / F.sum("n"), 6).alias("accuracy"))
+
+
+def windowed_stream(spark, d):
+    """Daily rates of the event stream, by a streaming aggregation with a watermark."""
+    import uuid
+
+    out = f"{shared_dir(spark)}/windows-{uuid.uuid4().hex}"
+    schema = table(spark, d, "events").schema
+    src = f"{out}-in"
+    table(spark, d, "events").write.parquet(src)
+    stream = spark.readStream.schema(schema).parquet(src).withColumn("ts", F.col("ts").cast("timestamp")).withColumn("ok", F.col("value") > 50)
+    rates = ingest.windowed_rates(stream, "ts", "1 day", "2 days", ["event_type"], "ok")
+    q = rates.writeStream.outputMode("complete").foreachBatch(lambda b, _: b.write.mode("overwrite").parquet(out)).option("checkpointLocation", f"{out}-check").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(out).select(F.unix_timestamp("start").alias("start"), "event_type", "n", "n_ok")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        scope_verdicts, scope_violations, parse_verdicts, domain_violations, use_sites, synth_grid, template_pool, stratified_split, topped_up_pool, group_folds, probe_accuracy, hashed_features, last_windows, legal_tokens,
+        trial_inputs, unwrapped_programs, scope_events, corrupted_uses, surface_baseline, windowed_stream, scope_verdicts, scope_violations, parse_verdicts, domain_violations, use_sites, synth_grid, template_pool, stratified_split, topped_up_pool, group_folds, probe_accuracy, hashed_features, last_windows, legal_tokens,
         token_entropy, pair_differences, patch_recovery, number_outputs, content_keys, jsonl_round_trip, resumed_log, upserted_cells, replaced_rows, verdict_cache, streamed_log, candidate_rows,
     )
 }
 
 _NUMS = r"list_transform(regexp_extract_all({c}, '-?(?:\d+\.?\d*(?:[eE][+-]?\d+)?|nan|inf)'), lambda x: x::DOUBLE)"
 SQL = {
+    "surface_baseline": "WITH c AS (SELECT length(generated) // 200 AS band, rtrim(generated, ' ') LIKE '%}' AS closed, count(*) AS n, sum(parse_valid::INT) AS pos FROM ladder WHERE generated IS NOT NULL GROUP BY 1, 2) SELECT sum(n) AS n, round(sum(greatest(pos, n - pos)) / sum(n), 6) AS accuracy FROM c",
+    "windowed_stream": "SELECT epoch(date_trunc('day', ts))::BIGINT AS start, event_type, count(*) AS n, count(*) FILTER (value > 50) AS n_ok FROM events GROUP BY 1, 2",
     "synth_grid": "SELECT d, n, nesting, seed, true AS valid, d::INT AS distance FROM unnest([2, 4, 8, 16, 32, 64]) AS a(d), unnest([1, 3, 6]) AS b(n), unnest([0, 1, 2]) AS c(nesting), unnest([0, 1, 2]) AS e(seed)",
     "stratified_split": "SELECT row_id, dialect, CASE WHEN r <= q THEN 'dev' ELSE 'train' END AS split FROM (SELECT row_id, dialect, CASE dialect WHEN 'linalg' THEN 25 ELSE 50 END AS q, row_number() OVER (PARTITION BY dialect ORDER BY md5('3:' || row_id), row_id) AS r FROM train_v1 WHERE dialect IN ('arith+func', 'linalg')) WHERE r <= q * CASE dialect WHEN 'linalg' THEN 4 ELSE 5 END",
     "topped_up_pool": "SELECT prompt_id, source FROM eval_pool WHERE source IN ('spec', 'mined') ORDER BY source = 'mined', md5('5:' || prompt_id), prompt_id LIMIT 40",

@@ -25,10 +25,24 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[app]
 
 
+_tables: list[str] = []
+
+
+def clear(spark: SparkSession) -> int:
+    """Deletes the tables that written() has made in this process; call it once no result that reads them is needed."""
+    n = len(_tables)
+    conf, jvm = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm
+    while _tables:
+        path = jvm.org.apache.hadoop.fs.Path(_tables.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return n
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage: writes df as Parquet to the shared folder and reads it again. Survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _tables.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

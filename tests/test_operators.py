@@ -274,3 +274,13 @@ def test_operation_definitions(spark):
     dump = '{"!instanceof": {"Op": ["A"]}, "A": {"!superclasses": ["Op<x>"], "opName": "addi", "opDialect": {"def": "Arith"}, "summary": "s", "arguments": {"args": [[{"def": "I32"}, "lhs"]]}, "results": {"args": []}, "traits": [{"def": "Pure"}]}, "B": {"!superclasses": ["Attr"]}}'
     recs = ods.json_records(spark.createDataFrame([("d", dump)], "source string, json string")).collect()
     assert [(r.mnemonic, r["class"], r.traits, [tuple(o) for o in r.operands]) for r in recs] == [("addi", "Arith", ["Pure"], [("I32", "lhs")])]
+
+
+def test_written_tables(spark):
+    from corvane.store import clear, written
+
+    t = written(spark.createDataFrame([(1, None), (2, "b")], "k int, v string"), "two")
+    assert sorted(r.k for r in t.collect()) == [1, 2]
+    assert clear(spark) >= 1 and clear(spark) == 0
+    with pytest.raises(Exception):  # noqa: B017
+        t.count()
