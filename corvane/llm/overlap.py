@@ -17,8 +17,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.functions.text import let
 from corvane.llm.metric_join import classes, confirmed, need
-from corvane.llm.windows import Stretch, blocks, minimised, signed
+from corvane.llm.windows import blocks, minimised, signed
 from corvane.store import table, written
 
 SIMILARITY, RUN = 0.5, 3
@@ -28,9 +29,10 @@ GRAM, WINDOW = 16, 32
 def canonical_program(text: Column) -> Column:
     """Tokens without comments, layout and case; functions are @F, values numbered by first occurrence."""
     tokens = F.regexp_extract_all(F.lower(F.regexp_replace(text, r"//[^\n\r]*", "")), F.lit(r"[%@][\w$.-]+|\w+|[^\s\w]"), F.lit(0))
-    values = F.array_distinct(F.filter(tokens, lambda x: x.rlike("^%.")))
-    names = F.transform(tokens, lambda x: F.when(x.rlike("^%."), F.concat(F.lit("%"), F.array_position(values, x))).when(x.rlike("^@."), F.lit("@f")).otherwise(x))
-    return F.when(F.size(tokens) > 0, F.array_join(names, " "))
+    is_value, is_function = (lambda x: x.startswith("%") & (F.length(x) > 1)), (lambda x: x.startswith("@") & (F.length(x) > 1))
+    name = lambda x, values: F.when(is_value(x), F.concat(F.lit("%"), F.array_position(values, x))).when(is_function(x), F.lit("@f")).otherwise(x)
+    renamed = lambda t, values: F.array_join(F.transform(t, lambda x: name(x, values)), " ")
+    return let(tokens, lambda t: F.when(F.size(t) > 0, let(F.array_distinct(F.filter(t, is_value)), lambda values: renamed(t, values))))
 
 
 def same_program(ev: DataFrame, tr: DataFrame) -> DataFrame:
