@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions.text import let
 from corvane.llm.metric_join import classes, confirmed, need
-from corvane.llm.windows import blocks, minimised, signed
+from corvane.llm.windows import blocks, cut_long, minimised, signed
 from corvane.store import table, written
 
 SIMILARITY, RUN = 0.5, 3
@@ -65,8 +65,9 @@ def grams(rows: DataFrame, kind: str, m: int = GRAM, w: int = WINDOW) -> DataFra
 
     def run(batches):
         for b in batches:
-            ids, texts = b.column(0).to_numpy(), b.column(1).to_pylist()
-            for first, codes, edges in blocks(texts):
+            ids = b.column(0).to_numpy()
+            whole, _, parts = cut_long(b.column(1).to_pylist(), m + w - 1)
+            for first, codes, edges in blocks(parts):
                 owner, starts, runs, place, s = minimised(codes, edges, m, w)
                 if not len(starts):
                     continue
@@ -75,7 +76,7 @@ def grams(rows: DataFrame, kind: str, m: int = GRAM, w: int = WINDOW) -> DataFra
                     order = np.lexsort((place, h >> np.uint64(32), owner))
                     keep = order[np.r_[True, np.diff(owner[order]) > 0]]
                     owner, h = owner[keep], h[keep]
-                yield pa.record_batch([pa.array(ids[first + owner]), pa.array(np.full(len(owner), m, np.int32)), pa.array(signed(h))], ["row_id", "m", "h"])
+                yield pa.record_batch([pa.array(ids[whole[first + owner]]), pa.array(np.full(len(owner), m, np.int32)), pa.array(signed(h))], ["row_id", "m", "h"])
 
     return rows.mapInArrow(run, "row_id long, m int, h long")
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm.merkle import programs
-from corvane.llm.windows import Stretch, blocks, minimised, signed
+from corvane.llm.windows import Stretch, blocks, cut_long, minimised, signed
 from corvane.store import written
 
 K, M, HOT = 120, 32, 20_000
@@ -35,11 +35,13 @@ def super_kmers(texts: DataFrame, k: int = K, m: int = M) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            ids, texts = b.column(0).to_numpy(), b.column(1).to_pylist()
-            for first, codes, edges in blocks(texts):
+            ids = b.column(0).to_numpy()
+            whole, at, parts = cut_long(b.column(1).to_pylist(), k)
+            for first, codes, edges in blocks(parts):
                 owner, starts, runs, place, s = minimised(codes, edges, m, k - m + 1)
                 if len(starts):
-                    yield pa.record_batch([pa.array(ids[first + owner]), pa.array((starts - edges[owner]).astype(np.int32)), pa.array(runs.astype(np.int32)), pa.array(signed(s.of(place, place + m))), pa.array(signed(s.of(starts, starts + runs + k - 1)))], ["row_id", "start", "n_win", "mz", "sk"])
+                    i = first + owner
+                    yield pa.record_batch([pa.array(ids[whole[i]]), pa.array((starts - edges[owner] + at[i]).astype(np.int32)), pa.array(runs.astype(np.int32)), pa.array(signed(s.of(place, place + m))), pa.array(signed(s.of(starts, starts + runs + k - 1)))], ["row_id", "start", "n_win", "mz", "sk"])
 
     long_enough = texts.filter(F.length("text") >= k).select(F.col("row_id").cast("long"), "text")
     return long_enough.mapInArrow(run, RUNS)
@@ -110,9 +112,8 @@ def counted(packed: DataFrame, k: int) -> DataFrame:
             yield from out(held)
 
     def out(t):
-        for c in range(0, 1):
-            run_i, w0, w1 = count_bucket(t["s"].tolist(), t["lo"].to_numpy(), t["hi"].to_numpy(), k)
-            yield pa.record_batch([pa.array(t["mz"].to_numpy()[run_i]), pa.array(t["sk"].to_numpy()[run_i]), pa.array(w0.astype(np.int32)), pa.array(w1.astype(np.int32))], ["mz", "sk", "w0", "w1"])
+        run_i, w0, w1 = count_bucket(t["s"].tolist(), t["lo"].to_numpy(), t["hi"].to_numpy(), k)
+        yield pa.record_batch([pa.array(t["mz"].to_numpy()[run_i]), pa.array(t["sk"].to_numpy()[run_i]), pa.array(w0.astype(np.int32)), pa.array(w1.astype(np.int32))], ["mz", "sk", "w0", "w1"])
 
     return packed.repartition("mz").sortWithinPartitions("mz").mapInArrow(run, "mz long, sk long, w0 int, w1 int")
 

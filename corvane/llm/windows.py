@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Code points per block; a longer text is a block of its own.
+#: Code points per block; longer texts are cut by cut_long().
 BLOCK = 1 << 20
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
@@ -41,6 +41,17 @@ class Stretch:
         return mix((self.sums[ends] - self.sums[starts]) * self.back[starts])
 
 
+def cut_long(texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """(text, offset, piece): texts longer than a block in pieces that overlap by k - 1, so that no window is lost."""
+    whole, at, parts = [], [], []
+    for i, t in enumerate(texts):
+        for o in range(0, max(1, len(t) - k + 1), BLOCK) if len(t) > BLOCK else (0,):
+            whole.append(i)
+            at.append(o)
+            parts.append(t[o : o + BLOCK + k - 1] if len(t) > BLOCK else t)
+    return np.array(whole, np.int64), np.array(at, np.int64), parts
+
+
 def blocks(texts: list[str]):
     """(index of the first text, code points of a block, start of each of its texts and the end)."""
     first, held, size = 0, [], 0

@@ -108,6 +108,20 @@ def test_shared_spans(spark, monkeypatch, hot):
     assert got == brute_shared(rows, 30)
 
 
+def test_long_texts_are_cut_without_losing_a_window(spark, monkeypatch):
+    monkeypatch.setattr(windows, "BLOCK", 64)
+    rng = random.Random(9)
+    make = lambda n: "".join(rng.choice("abc") for _ in range(n))
+    a = make(500)
+    rows = [(1, a), (2, make(33) + a[77:300]), (3, make(200) + a[10:45]), (4, make(64)), (5, make(40) + a[-29:])]
+    got = {r.row_id: r.n_shared for r in spans.coverage(frame(spark, rows, "row_id long, text string"), 30, 8).collect()}
+    assert got == brute_shared(rows, 30)
+    dev = [(1, a[100:190], None)]
+    train = [(7, None, a), (8, None, make(300))]
+    schema = "row_id long, nl string, mlir string"
+    assert {tuple(r) for r in overlap.held_question(frame(spark, dev, schema), frame(spark, train, schema)).collect()} == {(1, 7)}
+
+
 def test_window_hashes():
     import numpy as np
 
