@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.functions.text import let
 from corvane.operators.components import components
 from corvane.store import table, written
 
@@ -29,9 +30,8 @@ WORD = r"[a-z0-9_]+"
 
 
 def shingles(words: Column, n: int) -> Column:
-    count = F.size(words)
-    parts = lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(n)])
-    return F.when(count < n, F.array().cast("array<long>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(count - n, F.lit(0))), parts)))
+    runs = lambda w: F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - n, F.lit(0))), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(n)])))
+    return let(words, lambda w: F.when(F.size(w) < n, F.array().cast("array<long>")).otherwise(runs(w)))
 
 
 def classes(rows: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
