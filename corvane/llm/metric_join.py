@@ -143,5 +143,17 @@ SQL = {
   g AS (SELECT DISTINCT row_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s FROM (SELECT row_id, w, unnest(range(1, len(w) - 1)) AS i FROM t)),
   n AS (SELECT row_id, count(*) AS n FROM g GROUP BY row_id),
   p AS (SELECT a.row_id AS x, b.row_id AS y, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.row_id < b.row_id GROUP BY 1, 2)
-  SELECT x AS row_id_a, y AS row_id_b FROM p JOIN n a ON a.row_id = x JOIN n b ON b.row_id = y WHERE c * 2 >= a.n + b.n - c"""
+  SELECT x AS row_id_a, y AS row_id_b FROM p JOIN n a ON a.row_id = x JOIN n b ON b.row_id = y WHERE c * 2 >= a.n + b.n - c""",
+    # Group and links of each row: the classes of equal word lists, their pairs, and what a class reaches over pairs.
+    "p1_groups": r"""
+  WITH RECURSIVE t AS (SELECT row_id, regexp_extract_all(lower(coalesce(nl, '') || ' ' || coalesce(mlir, '')), '[a-z0-9_]+') AS w FROM train_v1),
+  m AS (SELECT row_id, w, min(row_id) OVER (PARTITION BY w) AS rep, count(*) OVER (PARTITION BY w) AS copies FROM t WHERE len(w) >= 3),
+  g AS (SELECT DISTINCT row_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s FROM (SELECT row_id, w, unnest(range(1, len(w) - 1)) AS i FROM m WHERE row_id = rep)),
+  n AS (SELECT row_id, count(*) AS n FROM g GROUP BY row_id),
+  p AS (SELECT a.row_id AS x, b.row_id AS y, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.row_id < b.row_id GROUP BY 1, 2),
+  e AS (SELECT x, y FROM p JOIN n a ON a.row_id = x JOIN n b ON b.row_id = y WHERE c * 2 >= a.n + b.n - c),
+  f AS (SELECT x, y FROM e UNION SELECT y, x FROM e),
+  r AS (SELECT DISTINCT x, x AS y FROM f UNION SELECT r.x, f.y FROM r JOIN f ON f.x = r.y),
+  c AS (SELECT x AS rep, min(y) AS component FROM r GROUP BY x), d AS (SELECT x AS rep, count(*) AS n_links FROM f GROUP BY x)
+  SELECT t.row_id, coalesce(component, m.rep, t.row_id) AS group_id, coalesce(copies, 1) AS n_copies, coalesce(n_links, 0) AS n_links FROM t LEFT JOIN m USING (row_id) LEFT JOIN c USING (rep) LEFT JOIN d USING (rep)""",
 }

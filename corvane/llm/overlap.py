@@ -121,8 +121,7 @@ def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("split", "source").agg(F.count("*").alias("n"), F.count("same_program").alias("n_overlap"), *[n(h).alias("n_" + h) for h in ("same_program", "similar_program", "question_held")])
 
 
-SQL = {
-    "p5_found": r"""
+_RULES = r"""
   WITH tok AS (SELECT 'd' AS side, row_id, mlir, nl FROM dev_v1 UNION ALL SELECT 't', row_id, mlir, NULL FROM train_v1),
   tk AS (SELECT side, row_id, regexp_extract_all(lower(regexp_replace(mlir, '//[^\n\r]*', '', 'g')), '[%@][\w$.-]+|\w+|[^\s\w]') AS t FROM tok WHERE mlir IS NOT NULL),
   fx AS (SELECT side, row_id, i, t[i] AS x FROM (SELECT *, unnest(range(1, len(t) + 1)) AS i FROM tk)),
@@ -133,7 +132,13 @@ SQL = {
   n AS (SELECT side, row_id, count(*) AS n FROM g GROUP BY 1, 2),
   p AS (SELECT a.row_id AS x, b.row_id AS y, count(*) AS c FROM g a JOIN g b ON a.side = 'd' AND b.side = 't' AND a.s = b.s GROUP BY 1, 2),
   l AS (SELECT side, row_id, lower(regexp_replace(nl, '[^\p{L}\p{N}]+', '', 'g')) AS q, lower(regexp_replace(mlir, '[^\p{L}\p{N}]+', '', 'g')) AS s FROM tok)
-  SELECT x AS dev_row_id, y AS train_row_id FROM p JOIN n a ON a.side = 'd' AND a.row_id = x JOIN n b ON b.side = 't' AND b.row_id = y WHERE c * 2 >= a.n + b.n - c
-  UNION SELECT a.row_id, b.row_id FROM canon a JOIN canon b ON a.side = 'd' AND b.side = 't' AND a.c = b.c
-  UNION SELECT a.row_id, b.row_id FROM l a JOIN l b ON a.side = 'd' AND b.side = 't' AND a.q <> '' AND contains(b.s, a.q)"""
+"""
+_SIMILAR = "FROM p JOIN n a ON a.side = 'd' AND a.row_id = x JOIN n b ON b.side = 't' AND b.row_id = y WHERE c * 2 >= a.n + b.n - c"
+_SAME = "FROM canon a JOIN canon b ON a.side = 'd' AND b.side = 't' AND a.c = b.c"
+_HELD = "FROM l a JOIN l b ON a.side = 'd' AND b.side = 't' AND a.q <> '' AND contains(b.s, a.q)"
+SQL = {
+    "p5_found": f"{_RULES} SELECT x AS dev_row_id, y AS train_row_id {_SIMILAR} UNION SELECT a.row_id, b.row_id {_SAME} UNION SELECT a.row_id, b.row_id {_HELD}",
+    "p5_report": f"""{_RULES}, h AS (SELECT DISTINCT x AS row_id, 'similar' AS how {_SIMILAR} UNION SELECT a.row_id, 'same' {_SAME} UNION SELECT a.row_id, 'held' {_HELD}),
+      k AS (SELECT row_id, bool_or(how = 'same') AS same, bool_or(how = 'similar') AS sim, bool_or(how = 'held') AS held FROM h GROUP BY 1)
+      SELECT split, source, count(*) AS n, count(k.row_id) AS n_overlap, count(*) FILTER (same) AS n_same_program, count(*) FILTER (sim) AS n_similar_program, count(*) FILTER (held) AS n_question_held FROM dev_v1 d LEFT JOIN k USING (row_id) GROUP BY 1, 2""",
 }

@@ -186,4 +186,11 @@ def p3_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("row_id", "n_chars", "n_spans", "n_shared", F.when(F.col("n_chars") > 0, F.col("n_shared") / F.col("n_chars")).otherwise(0.0).alias("share"))
 
 
-SQL: dict[str, str] = {}
+SQL = {
+    # All windows as strings: for small tables.
+    "p3_found": f"""
+  WITH t AS (SELECT row_id, mlir AS t FROM train_v1 UNION ALL SELECT row_id, generated FROM ladder),
+  w AS (SELECT row_id, substr(t, i, {K}) AS s FROM (SELECT row_id, t, unnest(range(1, length(t) - {K - 2})) AS i FROM t)),
+  m AS (SELECT s FROM w GROUP BY s HAVING min(row_id) < max(row_id))
+  SELECT DISTINCT row_id FROM w SEMI JOIN m USING (s)"""
+}
