@@ -334,6 +334,9 @@ _OPSQL = r"list_filter(regexp_extract_all({c}, '\b((?:arith|memref|linalg|func|s
 _SIGP = r"(?s)func\.func\s+@[\w$.]+\s*\(([^)]*)\)\s*(?:->\s*([^{]+?))?\s*\{"
 _SIGA = lambda c: f"list_transform(list_filter(string_split(regexp_extract({c}, '{_SIGP}', 1), ','), lambda a: contains(a, ':')), lambda a: regexp_replace(regexp_replace(a, '(?s)^[^:]*:', ''), '\\s+', '', 'g'))"
 _SIGR = lambda c: f"regexp_replace(regexp_extract({c}, '{_SIGP}', 2), '\\s+', '', 'g')"
+_PUBP = r"func\.func\s+@(\w+)\s*\(([^)]*)\)\s*(?:->\s*([^{]+?))?\s*\{"
+_PUBA = lambda c: f"list_transform(list_filter(string_split(regexp_extract({c}, '{_PUBP}', 2), ','), lambda a: trim(a) <> ''), lambda a: replace(regexp_replace(a, '.*:', ''), ' ', ''))"
+_PUBR = lambda c: f"replace(trim(regexp_extract({c}, '{_PUBP}', 3)), ' ', '')"
 SQL = {
     "ladder_latest": f"WITH {_CELLS} SELECT model, pool, constraint_stack, prompt_id, row_id FROM c",
     "ladder_summary": f"WITH {_CELLS} SELECT model, pool, constraint_stack, count(*) AS n, round(avg(parse_valid::INT), 6) AS parse_rate, round(avg(verify_valid::INT), 6) AS verify_rate, round(avg(attempts), 6) AS mean_attempts, round(avg(dt), 6) AS mean_dt, count(*) FILTER (NOT coalesce(finished, true)) AS unfinished FROM c GROUP BY 1, 2, 3",
@@ -376,6 +379,9 @@ SQL = {
         coalesce(list_sum(list_transform(list_distinct(a), lambda o: least(len(list_filter(a, lambda x: x = o)), len(list_filter(b, lambda x: x = o))))), 0) AS sh FROM j),
       k AS (SELECT *, CASE WHEN ok THEN (len(list_filter(range(1, least(len(ga), len(da)) + 1), lambda i: ga[i] = da[i])) + (gr = dr)::INT) / (greatest(len(ga), len(da)) + 1) ELSE 0.0 END AS sig, CASE WHEN len(a) + len(b) - sh = 0 THEN 1.0 ELSE sh / (len(a) + len(b) - sh) END AS jac FROM s)
       SELECT row_id, round(sig, 6) AS sig, round(jac, 6) AS jac, round(CASE WHEN verify_valid THEN sig * jac ELSE 0.0 END, 6) AS reward FROM k""",
+    "signature_matches": rf"""WITH j AS (SELECT regexp_matches(generated, '{_PUBP}') AS oc, regexp_matches(gold_mlir, '{_PUBP}') AS og, {_PUBA('generated')} AS ca, {_PUBA('gold_mlir')} AS ga, {_PUBR('generated')} AS cr, {_PUBR('gold_mlir')} AS gr FROM ladder JOIN eval_pool USING (prompt_id) WHERE generated IS NOT NULL AND gold_mlir IS NOT NULL),
+      k AS (SELECT *, list_transform(range(1, len(ga) + 1), lambda i: ga[i] = ca[i] OR coalesce(len(string_split(ga[i], 'x')) = len(string_split(ca[i], 'x')) AND ga[i] LIKE 'memref<%' AND ca[i] LIKE 'memref<%' AND len(list_filter(range(1, len(string_split(ga[i], 'x')) + 1), lambda q: NOT (string_split(ga[i], 'x')[q] = string_split(ca[i], 'x')[q] OR string_split(ca[i], 'x')[q] IN ('?', 'memref<?')))) = 0, false)) AS fit FROM j)
+      SELECT CASE WHEN NOT (oc AND og) OR cr <> gr OR len(ca) <> len(ga) THEN 'mismatch' WHEN ca = ga THEN 'exact' WHEN list_bool_and(fit) THEN 'dim_relaxed' ELSE 'mismatch' END AS match, count(*) AS n FROM k GROUP BY 1""",
     "model_tags": r"SELECT model, nullif(regexp_extract(model, '^(.*)_(ssd|rft|grpo|sft)_s(\d+)$', 1), '') AS base, nullif(regexp_extract(model, '^(.*)_(ssd|rft|grpo|sft)_s(\d+)$', 2), '') AS tuned, coalesce(params_m, try_cast(regexp_extract(model, '(\d+)m', 1) AS DOUBLE)) AS size_m FROM model_pins",
     "seed_averages": f"WITH {_POINTS} SELECT family, params_m, d, round(avg(residual), 6) AS residual, count(*) AS n_seeds FROM (SELECT family, params_m, d, train_seed, avg(r) AS residual FROM pt GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3",
     "size_fits": f"WITH {_POINTS}, z AS (SELECT family, params_m, avg(r) AS residual FROM pt GROUP BY 1, 2), y AS ({_LOGFIT('z', 'family')}) SELECT family, round(a, 5) AS a, round(beta, 5) AS beta, round(r2, 5) AS r2, n, n_clipped, n_clipped >= n - 1 AS degenerate FROM y WHERE n >= 2",
