@@ -151,8 +151,13 @@ def shared_spans(texts: DataFrame, k: int = K, m: int = M) -> DataFrame:
     wanted = asked.groupBy(F.col("x.row_id").alias("row_id")).agg(F.collect_list(F.struct("mz", "sk", "lo", "hi", "n_sk", F.col("x.start").alias("start"), F.col("x.n_win").alias("n_win"))).alias("w"))
     one = texts.filter(F.length("text") >= k).select(F.col("row_id").cast("long").alias("row_id"), "text")
     cut = wanted.join(one, "row_id").select("text", F.explode("w").alias("w")).select("w.mz", "w.sk", "w.lo", "w.hi", "w.n_sk", F.substring("text", F.col("w.start") + 1, F.col("w.n_win") + (k - 1)).alias("s"))
-    packed = written(cut.dropDuplicates(["mz", "sk"]), "packed-super-kmers")
-    hits = counted(packed.filter(F.col("n_sk") <= HOT).drop("n_sk"), k).unionByName(counted_by_shuffle(packed.filter(F.col("n_sk") > HOT).drop("n_sk"), k))
+    packed = cut.repartition("mz").dropDuplicates(["mz", "sk"])  # one exchange: by bucket
+    if asked.filter(F.col("n_sk") > HOT).isEmpty():
+        hits = counted(packed.drop("n_sk"), k)
+    else:
+        packed = written(packed, "packed-super-kmers")
+        hits = counted(packed.filter(F.col("n_sk") <= HOT).drop("n_sk"), k).unionByName(counted_by_shuffle(packed.filter(F.col("n_sk") > HOT).drop("n_sk"), k))
+    hits = written(hits, "shared-windows")
     whole = live.join(distinct.filter("lo < hi").select("mz", "sk"), ["mz", "sk"]).select("row_id", F.col("start").alias("a"), (F.col("start") + F.col("n_win") + (k - 1)).alias("b"))
     partly = live.join(hits.join(distinct.filter("lo < hi").select("mz", "sk"), ["mz", "sk"], "left_anti"), ["mz", "sk"]).select("row_id", (F.col("start") + F.col("w0")).alias("a"), (F.col("start") + F.col("w1") + k).alias("b"))
     return whole.unionByName(partly)
