@@ -111,7 +111,7 @@ def last_windows(spark, d):
 
 def legal_tokens(spark, d):
     """How many of a row's tokens a packed mask of the ids divisible by three allows."""
-    ids = F.transform(F.slice("tokens", 1, 64), lambda t: F.pmod(t, F.lit(256)))
+    ids = F.transform("tokens", lambda t: F.pmod(t, F.lit(256)))
     words = [sum(1 << (b % 32) for b in range(w * 32, w * 32 + 32) if b % 3 == 0) for w in range(8)]
     mask = F.array(*[F.lit(w).cast("long") for w in words])
     rows = table(spark, d, "gen_out").select("gen_id", ids.alias("ids"), mask.alias("mask"))

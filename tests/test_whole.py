@@ -9,3 +9,10 @@ def test_token_curve_runs_to_the_longest_row(spark, tmp_path):
     got = {r["pos"]: (r["n"], r["mean"]) for r in registry.queries()["token_curve"](spark, str(tmp_path)).collect()}
     assert sorted(got) == list(range(100))
     assert got[63] == (2, 36.5) and got[64] == (2, 37.0) and got[69] == (2, 39.5) and got[70] == (1, 10.0) and got[99] == (1, 10.0)
+
+
+def test_legal_tokens_counts_past_the_64th(spark, tmp_path):
+    rows = [(1, [3] * 64 + [1, 6, 256 + 9]), (2, [1] * 64 + [0] * 40), (3, [0, 1]), (4, [])]
+    spark.createDataFrame(rows, "gen_id long, tokens array<int>").write.parquet(f"{tmp_path}/gen_out.parquet")
+    got = {r["gen_id"]: r["n_legal"] for r in registry.queries()["legal_tokens"](spark, str(tmp_path)).collect()}
+    assert got == {1: 66, 2: 40, 3: 1, 4: 0}
