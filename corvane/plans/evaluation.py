@@ -10,7 +10,8 @@ from corvane.operators import fit, ladder, passk, stats
 from corvane.plans.pool import known_ops
 from corvane.store import table
 
-B = 100
+#: Resamples of the queries, as in the studied statistics; of the size fit; of the SQL, which takes fewer.
+RESAMPLES, SIZE_RESAMPLES, B = 10_000, 2000, 100
 
 
 def cells(spark, d):
@@ -31,24 +32,24 @@ def ladder_deltas(spark, d):
 
 
 def rate_intervals(spark, d):
-    got = stats.interval(cells(spark, d).withColumn("ok", F.col("verify_valid").cast("int")), ["method", "constraint_stack"], "row_id", "ok", B)
+    got = stats.numpy_interval(cells(spark, d).withColumn("ok", F.col("verify_valid").cast("int")), ["method", "constraint_stack"], "row_id", "ok", None, RESAMPLES)
     return got.select("method", "constraint_stack", "n", *[F.round(c, 6).alias(c) for c in ("point", "ci_low", "ci_high")])
 
 
 def rank_intervals(spark, d):
-    got = stats.rank_interval(cells(spark, d).withColumn("ok", F.col("verify_valid").cast("int")), ["method"], "row_id", "ok", B)
+    got = stats.numpy_interval(cells(spark, d).withColumn("ok", F.col("verify_valid").cast("int")), ["method"], "row_id", "ok", None, RESAMPLES, ranks=True)
     return got.select("method", *[F.round(c, 6).alias(c) for c in ("ci_low", "ci_high")])
 
 
 def delta_intervals(spark, d):
     p = ladder.rung_pairs(cells(spark, d)).withColumn("pair_id", F.concat_ws("/", "model", "pool", F.lpad(F.col("prompt_id").cast("string"), 9, "0")))
-    got = stats.paired_interval(p, ["rung"], "pair_id", "a", "b", B)
+    got = stats.numpy_interval(p, ["rung"], "pair_id", "a", "b", RESAMPLES)
     return got.select("rung", "n", *[F.round(c, 6).alias(c) for c in ("point", "ci_low", "ci_high", "p_value")])
 
 
 def numpy_intervals(spark, d):
     rows = cells(spark, d).withColumn("ok", F.col("verify_valid").cast("double"))
-    return stats.numpy_interval(rows, ["method", "constraint_stack"], "row_id", "ok", None, 2000)
+    return stats.numpy_interval(rows, ["method", "constraint_stack"], "row_id", "ok", None, RESAMPLES)
 
 
 def flagged(spark, d):
@@ -85,7 +86,7 @@ def conditional_residual(spark, d):
 
 def internalized_gate(spark, d):
     p = ladder.residual_pairs(flagged(spark, d)).withColumn("pair_id", F.concat_ws("/", "model", "pool", F.lpad(F.col("prompt_id").cast("string"), 9, "0")))
-    got = ladder.internalized(stats.paired_interval(p, ["layer"], "pair_id", "a", "b", B))
+    got = ladder.internalized(stats.numpy_interval(p, ["layer"], "pair_id", "a", "b", RESAMPLES))
     return got.select("layer", "n", *[F.round(c, 6).alias(c) for c in ("point", "ci_low", "ci_high")], "internalized")
 
 
@@ -277,7 +278,7 @@ def size_fit_resamples(spark, d):
     per = points(spark, d).groupBy("prompt_id", "params_m").agg(F.avg((~F.col("verify_valid")).cast("double")).alias("r"))
     ids = per.select("prompt_id").distinct().withColumn("i", F.row_number().over(Window.orderBy("prompt_id")) - 1)  # the benchmark's prompts
     n = ids.agg(F.count("*").alias("n"))
-    picks = ids.select("i").crossJoin(F.broadcast(n)).select(F.explode(F.sequence(F.lit(0), F.lit(19))).alias("b"), "i", "n").select("b", stats.draw(F.col("b"), F.col("i"), F.col("n")).alias("i"))
+    picks = ids.select("i").crossJoin(F.broadcast(n)).select(F.explode(F.sequence(F.lit(0), F.lit(SIZE_RESAMPLES - 1))).alias("b"), "i", "n").select("b", stats.draw(F.col("b"), F.col("i"), F.col("n")).alias("i"))
     means = picks.join(ids, "i").join(per, "prompt_id").groupBy("b", "params_m").agg(F.avg("r").alias("residual"))
     return fit.log_fit(means, ["b"], F.col("params_m"), F.col("residual")).select("b", F.round("beta", 5).alias("beta"), "n")
 

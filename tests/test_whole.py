@@ -1,6 +1,13 @@
 """Queries do the whole job: fixtures on which a cut would show."""
 
-from corvane.plans import registry
+import os
+
+import duckdb
+import numpy as np
+import pytest
+
+from corvane.operators import stats
+from corvane.plans import evaluation, registry
 
 
 def test_token_curve_runs_to_the_longest_row(spark, tmp_path):
@@ -16,3 +23,57 @@ def test_legal_tokens_counts_past_the_64th(spark, tmp_path):
     spark.createDataFrame(rows, "gen_id long, tokens array<int>").write.parquet(f"{tmp_path}/gen_out.parquet")
     got = {r["gen_id"]: r["n_legal"] for r in registry.queries()["legal_tokens"](spark, str(tmp_path)).collect()}
     assert got == {1: 66, 2: 40, 3: 1, 4: 0}
+
+
+def test_bootstraps_take_the_full_number_of_resamples():
+    assert (evaluation.RESAMPLES, evaluation.SIZE_RESAMPLES) == (10_000, 2000)
+
+
+def test_rate_and_rank_intervals_are_those_of_10_000_draws(spark, monkeypatch):
+    rows = spark.createDataFrame([("m", "s", f"{i:03}", i % 3 == 0) for i in range(50)], "method string, constraint_stack string, row_id string, verify_valid boolean")
+    monkeypatch.setattr(evaluation, "cells", lambda spark, d: rows)
+    x = np.array([float(i % 3 == 0) for i in range(50)])
+    means = np.random.default_rng(0).choice(x, size=(10_000, 50), replace=True).mean(axis=1)
+    low, high = np.quantile(means, [0.025, 0.975])
+    for name in ("rate_intervals", "numpy_intervals"):
+        r = registry.queries()[name](spark, "").first()
+        assert (r.n, round(r.ci_low, 6), round(r.ci_high, 6)) == (50, round(low, 6), round(high, 6))
+    r = registry.queries()["rank_intervals"](spark, "").first()
+    assert (r.ci_low, r.ci_high) == tuple(np.round(np.sort(means)[[250, 9750]], 6))
+
+
+def test_paired_intervals_are_those_of_10_000_draws(spark, monkeypatch):
+    pairs = [("m", "p", i, "v1", int(i % 4 == 0), int(i % 5 == 0), 1) for i in range(60)]
+    made = spark.createDataFrame(pairs, "model string, pool string, prompt_id long, layer string, a int, b int, free_parses int")
+    monkeypatch.setattr(evaluation, "cells", lambda spark, d: made)
+    monkeypatch.setattr(evaluation, "flagged", lambda spark, d: made)
+    monkeypatch.setattr(evaluation.ladder, "residual_pairs", lambda t: t)
+    monkeypatch.setattr(evaluation.ladder, "rung_pairs", lambda t: t.withColumnRenamed("layer", "rung"))
+    a, b = np.array([p[4] for p in pairs], float), np.array([p[5] for p in pairs], float)
+    i = np.random.default_rng(0).integers(0, 60, size=(10_000, 60))
+    means = a[i].mean(axis=1) - b[i].mean(axis=1)
+    low, high = np.round(np.quantile(means, [0.025, 0.975]), 6)
+    r = registry.queries()["delta_intervals"](spark, "").first()
+    assert (r.n, r.ci_low, r.ci_high, r.p_value) == (60, low, high, round((means <= 0).mean(), 6))
+    r = registry.queries()["internalized_gate"](spark, "").first()
+    assert (r.n, r.ci_low, r.ci_high) == (60, low, high)
+
+
+def test_blocks_of_draws_are_one_stream(spark):
+    n = 2011  # blocks of 2085 rows, an odd number of draws, and over 2**22 draws: the generator is left amid a word between blocks
+    rows = spark.createDataFrame([("g", i, int(i % 7 == 0)) for i in range(n)], "k string, id long, x int")
+    r = stats.numpy_interval(rows, ["k"], "id", "x", None, 3000).first()
+    x = np.array([float(i % 7 == 0) for i in range(n)])
+    assert (r.ci_low, r.ci_high) == tuple(np.quantile(np.random.default_rng(0).choice(x, size=(3000, n), replace=True).mean(axis=1), [0.025, 0.975]))
+
+
+@pytest.mark.skipif(not os.path.isdir(os.environ.get("CORVANE_TEST_DATA", "/root/testdata/sf0.001")), reason="no test tables")
+def test_size_fit_resamples_gives_2000_and_begins_with_those_of_the_sql(spark):
+    data = os.environ.get("CORVANE_TEST_DATA", "/root/testdata/sf0.001")
+    got = {r["b"]: (r["beta"], r["n"]) for r in registry.queries()["size_fit_resamples"](spark, data).collect()}
+    assert sorted(got) == list(range(2000))
+    db = duckdb.connect()
+    for f in os.listdir(data):
+        db.execute(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{data}/{f}'")
+    want = {b: (beta, n) for b, beta, n in db.execute(f"SELECT b, beta, n FROM ({registry.oracle_sql()['size_fit_resamples']})").fetchall()}
+    assert len(want) == 20 and all(abs(got[b][0] - want[b][0]) < 1e-4 and got[b][1] == want[b][1] for b in want)
