@@ -68,8 +68,8 @@ def sequence(sizes: DataFrame, plan_: DataFrame) -> DataFrame:
 
 def _inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    n = count_tokens(docs)
-    sizes = written(docs.select("doc_id", "source").join(n, "doc_id"), "sizes")
+    n = count_tokens(docs.select(F.struct("doc_id", "source").alias("id"), "text"), id_col="id")  # source goes along: ids may repeat or be null
+    sizes = written(n.select("doc_id.doc_id", "doc_id.source", "n_tokens"), "sizes")
     return sizes, table(spark, sf_dir, "mix_targets")
 
 

@@ -6,6 +6,7 @@ import duckdb
 import numpy as np
 import pytest
 
+from corvane.llm import mixing
 from corvane.operators import stats
 from corvane.plans import evaluation, registry
 
@@ -77,3 +78,14 @@ def test_size_fit_resamples_gives_2000_and_begins_with_those_of_the_sql(spark):
         db.execute(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{data}/{f}'")
     want = {b: (beta, n) for b, beta, n in db.execute(f"SELECT b, beta, n FROM ({registry.oracle_sql()['size_fit_resamples']})").fetchall()}
     assert len(want) == 20 and all(abs(got[b][0] - want[b][0]) < 1e-4 and got[b][1] == want[b][1] for b in want)
+
+
+def test_mixing_keeps_rows_with_null_and_repeated_ids(spark, tmp_path):
+    rows = [(1, "a", "one two"), (1, "b", "one two three"), (None, "a", "one two"), (2, "b", "")]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("a", 0.5, 2), ("b", 0.5, 2)], "source string, target_share double, max_repeats int").write.parquet(f"{tmp_path}/mix_targets.parquet")
+    sizes, _ = mixing._inputs(spark, str(tmp_path))
+    got = sorted(((r.doc_id, r.source, r.n_tokens > 0) for r in sizes.collect()), key=str)
+    assert got == sorted(((1, "a", True), (1, "b", True), (None, "a", True), (2, "b", False)), key=str)
+    has = {r["source"]: r["has"] for r in mixing.p8_mix(spark, str(tmp_path)).collect()}
+    assert has == {s: sum(r.n_tokens for r in sizes.collect() if r.source == s) for s in "ab"}
