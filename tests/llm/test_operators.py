@@ -143,10 +143,37 @@ CUT = [
 ]
 
 
+def ordinary(n=240):
+    """Whole answers of all kinds, from which the models learn how texts end and what answers say."""
+    out = []
+    for i in range(n):
+        program = PROGRAM.replace("@f", f"@f{i}").replace("%v3", f"%w{i}")
+        talk = f"Here is an explanation of `f{i}`. The value {i}.5 does not change while it runs. " + (f"In the end `f{i}` returns the result." if i % 2 else "The result has the type i32.")
+        out.append((program, f"```mlir\n{program}\n```", program + "\n// end", f"{program}\n\nI did not test {i}.", talk, f"Write `f{i}` which adds {i}.\n\nMLIR:", f"Here is `f{i}` in full:\n\n```mlir\n{program}\n```", f"{talk}\n\n{program}")[i % 8])
+    return out
+
+
 def test_cut_texts(spark):
-    rows = [(i, "s", t) for i, t in enumerate(WHOLE)] + [(100 + i, "s", t) for i, t in enumerate(CUT)]
-    got = {r.row_id for r in truncation.judged(frame(spark, rows, "row_id long, source string, text string")).filter("cut").collect()}
-    assert got == {100 + i for i in range(len(CUT))}
+    rows = [(i, "s", t) for i, t in enumerate(WHOLE)] + [(100 + i, "s", t) for i, t in enumerate(CUT)] + [(1000 + i, "s", t) for i, t in enumerate(ordinary())]
+    got = {r.row_id: r.rule for r in truncation.judged(frame(spark, rows, "row_id long, source string, text string")).filter("cut").collect()}
+    assert set(got) == {100 + i for i in range(len(CUT))}
+    assert set(got.values()) == {"likelihood", "structure"}
+
+
+def test_copies_of_a_cut_text_are_still_cut(spark):
+    cut = "The value 5.5 does not change while"
+    rows = [(i, "s", t) for i, t in enumerate(ordinary())] + [(1000 + i, "s", cut) for i in range(120)] + [(2000, None, None), (2001, "s", "")]
+    rows = frame(spark, rows, "row_id long, source string, text string").withColumns({c: F.lit("x") for c in ("a", "t", "digest", "is_open", "unit")})
+    assert {r.row_id for r in truncation.judged(rows).filter("cut").collect()} == {1000 + i for i in range(120)}
+
+
+def test_a_last_word_is_half_of_what_goes_on(spark):
+    base = frame(spark, [(i, "s", t) for i, t in enumerate(ordinary())] + [(900, "s", "The result has the ty")], "row_id long, source string, text string")
+    model = {(r.a, r.b, r.t): (r.p, r.floor) for r in truncation.end_model(truncation.measured(base)).collect()}
+    p, floor = model["has", "the", "ty"]
+    assert p < floor**0.5
+    p, floor = model["/", "/", "end"]
+    assert p > truncation.LIKELY
 
 
 def test_bare_numbers_and_limits(spark):
@@ -154,8 +181,10 @@ def test_bare_numbers_and_limits(spark):
     cut = [(1000, "s", "The value 24.")]
     limit = [(2000 + i, "lim", ("// " + f"c{i} " * 99)[:128]) for i in range(12)]
     rows = frame(spark, whole + cut + limit, "row_id long, source string, text string")
+    rules = {r.row_id: r.rule for r in truncation.judged(rows).filter("cut").collect()}
+    assert all((rules[i] == "limit") == (i >= 2000) for i in rules)
     assert {r.row_id for r in truncation.judged(rows).filter("cut").collect()} == {1000, *range(2000, 2012)}
-    flags = truncation.measured(rows).filter("not empty")
+    flags = truncation.measured(rows).filter("n is null and not empty")
     assert {(r.source, r.unit, r.len) for r in truncation.spikes(flags).collect()} == {("lim", "chars", 128), ("lim", "bytes", 128)}
 
 
@@ -198,6 +227,51 @@ def language_documents(spark):
     return frame(spark, rows, "doc_id long, text string, lang string")
 
 
+DECLINED = [
+    "I'm sorry, but I can't write `f{0}`.", "I must decline to write `f{0}`.", "`f{0}` goes against the rules I follow.", "Let us talk about something other than `f{0}`.", "Das kann ich leider nicht schreiben.", "`f{0}` will ich nicht liefern.", "As a language model I do not write such kernels.",
+]
+BEHIND = ["Requests with {0} fall outside my scope.", "Please ask someone who knows {0}.", "Dafür ist jemand anders da als ich.", ""]
+
+
+def answered(n=280):
+    """Question and answer: programs, explanations in three languages with and without one, and answers that decline."""
+    de, fr = "Die Funktion nimmt den Wert und gibt das Ergebnis am Ende zurück.", "La fonction prend la valeur et renvoie le résultat à la fin."
+    out = []
+    for i in range(n):
+        program = PROGRAM.replace("@f", f"@f{i}")
+        if i % 2:
+            out.append((EN, (program, f"The function `f{i}` takes the value and returns the result.\n\n{program}", f"{de}\n\n{program}", f"{fr} Voici une explication.\n\n{program}")[i // 2 % 4]))
+        else:
+            out.append((EN, f"{DECLINED[i // 2 % 7].format(i)} {BEHIND[i // 14 % 4].format(i)}".strip()))
+    return out
+
+
+def test_refusals_without_a_seed_word(spark):
+    """Ways to decline that hold no seed word are told by what they share with others; the same words beside a program aren't."""
+    rows = [(i, nl, t) for i, (nl, t) in enumerate(answered())] + [(1000, EN, PROGRAM.replace("%v3 =", "// sorry, I must decline to shorten this name\n    %v3 =")), (1001, EN, "module {\n  // Let us talk about something other than `x`.\n}"), (1002, EN, None)]
+    rows = frame(spark, rows, "row_id long, nl string, text string")
+    got = {r.row_id for r in pairs.defects(rows, frame(spark, [], "row_id long"), language_documents(spark)).filter("defect = 'refusal'").collect()}
+    assert got == {i for i in range(280) if i % 2 == 0} | {1001}
+    told = pairs.refusal_model(pairs.looked_at(rows)).filter("ratio > 0")
+    assert told.filter("not seeded").count() > 3
+
+
+def test_language_posteriors(spark):
+    model = pairs.fit_languages(language_documents(spark))
+    assert model["langs"] == ["de", "en", "fr", ""]
+    of = pairs.posteriors(model)
+    assert abs(of("Die Funktion gibt den Wert zurück")[0] - 1) < 0.01 and abs(of("the value of the sum")[1] - 1) < 0.01
+    assert abs(of("Функция принимает значение")[3] - 1) < 0.01
+    assert of("").tolist() == of(None).tolist() == [0.25] * 4
+    many = language_documents(spark).withColumn("lang", F.concat(F.lit("x"), "doc_id"))
+    limit, pairs.LABELS = pairs.LABELS, 3
+    try:
+        with pytest.raises(ValueError, match="labels"):
+            pairs.fit_languages(many)
+    finally:
+        pairs.LABELS = limit
+
+
 def test_defects(spark):
     cases = [
         (EN, None, "empty"), (EN, "```mlir\n```", "empty"), (EN, PROGRAM, None), (DE, PROGRAM, None), (EN, "I'm sorry, but I can't write `f` for you.", "refusal"), (EN, "// As a language model I do not write such kernels.", "refusal"),
@@ -206,9 +280,10 @@ def test_defects(spark):
         (EN, "Функция принимает значение и возвращает результат.", "other_language"), (EN, "最后返回结果,然后与参数相加。", "other_language"), (EN, PROGRAM.replace("%v3 =", "// sorry, I cannot shorten this name further\n    %v3 ="), None),
         (EN, "Voici une explication de la fonction et de ce que cela fait à la fin:\n" + PROGRAM, "other_language"), (EN, PROGRAM[:99], "truncated"), (None, "The function takes the value.", None),
     ]
-    rows = frame(spark, [(i, nl, t) for i, (nl, t, _) in enumerate(cases)], "row_id long, nl string, text string")
+    around = [(1000 + i, nl, t) for i, (nl, t) in enumerate(answered())]
+    rows = frame(spark, [(i, nl, t) for i, (nl, t, _) in enumerate(cases)] + around, "row_id long, nl string, text string")
     cut = frame(spark, [(i,) for i, c in enumerate(cases) if c[2] == "truncated"], "row_id long")
-    got = {r.row_id: r.defect for r in pairs.defects(rows, cut, language_documents(spark)).collect()}
+    got = {r.row_id: r.defect for r in pairs.defects(rows, cut, language_documents(spark)).filter("row_id < 1000").collect()}
     assert got == {i: c[2] for i, c in enumerate(cases) if c[2]}
 
 
