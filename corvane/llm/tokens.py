@@ -1,9 +1,10 @@
 """Problem 7: encoding of a corpus with a public byte-level BPE.
 
 A byte-level BPE never merges across the borders of its pre-tokenizer's words, so a text's ids are its words' ids one
-after the other. The corpus is split into words in the JVM; each distinct word is encoded once; the ids are joined back
-by position. Words met most often (HEAD of them, of at most HEAD_CHARS characters: a fixed bound, whatever the corpus) are
-joined by broadcast, all others by a shuffle join, so no hot word gathers in one task.
+after the other. The corpus is split into words in the JVM and each distinct word is encoded once, into the word table. The ids are
+joined back by position. The words met most often (HEAD of them, of at most HEAD_CHARS characters: a fixed bound, whatever the
+corpus) are looked up where the text stands, in Arrow batches; only occurrences of the others, the tail, travel to the word table and
+come back to their places between the segments of known ids. Texts without a tail aren't moved.
 
 Null, empty: an empty list. Blank texts, text that looks like special tokens, any Unicode: encoded as ordinary text.
 Repeated ids: documents are numbered within the run, so rows with equal or null doc_id stay apart. Extra columns are ignored.
@@ -13,7 +14,10 @@ from __future__ import annotations
 
 import os
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,7 +26,7 @@ from corvane.store import table, written
 
 #: The pre-tokenizer's pattern of this tokenizer, as published with its vocabulary. (?U) makes Java's classes Unicode.
 WORD = r"(?U)('(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+)"
-HEAD, HEAD_CHARS = 32768, 48
+HEAD, HEAD_CHARS = 1 << 17, 48
 
 
 def vocabulary(path: str | None = None) -> str:
@@ -55,12 +59,12 @@ def split_words(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def by_tokenizer(s: pd.Series) -> pd.Series:
-        pre = _encoder(path).pre_tokenizer
-        return s.map(lambda x: [x[a:b] for _, (a, b) in pre.pre_tokenize_str(x)])
+        odd = s.notna()
+        pre = _encoder(path).pre_tokenizer if odd.any() else None
+        return s.map(lambda x: None if x is None else [x[a:b] for _, (a, b) in pre.pre_tokenize_str(x)])
 
-    odd = F.col("t").rlike(r"\p{Cn}")
-    jvm = base.filter(~odd).select("n", "doc_id", F.regexp_extract_all("t", F.lit(WORD), F.lit(1)).alias("words"))
-    return jvm.unionByName(base.filter(odd).select("n", "doc_id", by_tokenizer("t").alias("words")))
+    odd = F.when(F.col("t").rlike(r"\p{Cn}"), F.col("t"))  # null for nearly all texts
+    return base.select("n", "doc_id", F.coalesce(by_tokenizer(odd), F.regexp_extract_all("t", F.lit(WORD), F.lit(1))).alias("words"))
 
 
 def word_table(words: DataFrame, path: str) -> DataFrame:
@@ -69,35 +73,69 @@ def word_table(words: DataFrame, path: str) -> DataFrame:
     return encode_words(seen, path)
 
 
-def _joined(occ: DataFrame, dictionary: DataFrame, *what: str) -> DataFrame:
-    """Joins dictionary to occ by word: its head by broadcast, the rest by shuffle."""
-    head = dictionary.filter(F.length("word") <= HEAD_CHARS).orderBy(F.desc("n_seen"), "word").limit(HEAD).select("word", *what)
-    with_head = occ.join(F.broadcast(head), "word", "left")
-    rest = dictionary.join(F.broadcast(head.select("word")), "word", "left_anti").select("word", *what)
-    tail = with_head.filter(F.col(what[0]).isNull()).select(*occ.columns).join(rest.hint("merge"), "word")
-    return with_head.filter(F.col(what[0]).isNotNull()).select(*occ.columns, *what).unionByName(tail.select(*occ.columns, *what))
+def looked_up(words: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """(n, doc_id, words) -> (n, doc_id, segments, tail): the ids of the words of the dictionary's head, cut where a word isn't in it, and
+    those words, one fewer than the segments."""
+    head = dictionary.filter(F.length("word") <= HEAD_CHARS).orderBy(F.desc("n_seen"), "word").limit(HEAD).select("word", "ids").toArrow()
+    known, ids = head.column("word").combine_chunks(), head.column("ids").combine_chunks()
+    values, at = ids.flatten().to_numpy().astype(np.int32), np.concatenate([[0], np.cumsum(pc.list_value_length(ids).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    held = words.sparkSession.sparkContext.broadcast((known, values, at))
+
+    def run(batches):
+        known, values, at = held.value
+        size = np.append(np.diff(at), 0)
+        for b in batches:
+            lists = b.column(2)
+            edges = lists.offsets.to_numpy().astype(np.int64)
+            edges = edges - edges[0]
+            flat = lists.flatten()
+            i = pc.fill_null(pc.index_in(flat, known), len(known)).to_numpy()
+            n = size[i]
+            ends = np.concatenate([[0], np.cumsum(n)])
+            got = values[np.repeat(np.append(at[:-1], 0)[i] - ends[:-1], n) + np.arange(ends[-1])] if len(i) else values[:0]
+            tail = np.flatnonzero(i == len(known))
+            before = np.searchsorted(tail, edges)
+            # A segment begins at each text and behind each word of the tail.
+            order = np.argsort(np.concatenate([2 * edges[:-1], 2 * tail + 1]), kind="stable")
+            cuts = np.concatenate([edges[:-1], tail])[order]
+            inner = pa.ListArray.from_arrays(pa.array(np.append(ends[cuts], ends[-1]).astype(np.int32)), pa.array(got))
+            segments = pa.ListArray.from_arrays(pa.array((before + np.arange(len(edges))).astype(np.int32)), inner)
+            rest = pa.ListArray.from_arrays(pa.array(before.astype(np.int32)), flat.take(pa.array(tail)))
+            yield pa.record_batch([b.column(0), b.column(1), segments, rest], ["n", "doc_id", "segments", "tail"])
+
+    ints = T.ArrayType(T.ArrayType(T.IntegerType()))
+    return words.mapInArrow(run, T.StructType([*words.schema.fields[:2], T.StructField("segments", ints), T.StructField("tail", T.ArrayType(T.StringType()))]))
+
+
+def _tables(docs: DataFrame, path: str | None, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Each document's segments and tail, and the word table."""
+    path = vocabulary(path)
+    words = split_words(docs, path, id_col, text_col)
+    dictionary = written(word_table(words, path), "word-table")
+    return looked_up(words, dictionary), dictionary
 
 
 def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids) of every row of docs."""
-    path = vocabulary(path)
-    words = written(split_words(docs, path, id_col, text_col), "words")
-    dictionary = written(word_table(words, path), "word-table")
-    occ = words.select("n", F.posexplode("words").alias("pos", "word"))
-    got = _joined(occ, dictionary, "ids").groupBy("n").agg(F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("x"))
-    flat = got.select("n", F.flatten(F.col("x.ids")).alias("ids"))
+    coded, dictionary = _tables(docs, path, id_col, text_col)
+    coded = written(coded, "coded")
+    whole = coded.filter(F.size("tail") == 0).select("doc_id", F.flatten("segments").alias("ids"))
+    left = coded.filter(F.size("tail") > 0)
+    rest = left.select("n", F.posexplode("tail").alias("pos", "word")).join(dictionary.select("word", "ids").hint("merge"), "word")
+    rest = rest.groupBy("n").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "ids"))), lambda x: x["ids"]).alias("rest"))
     none = F.array().cast("array<int>")
-    return words.select("n", "doc_id").join(flat, "n", "left").select("doc_id", F.coalesce("ids", none).alias("ids"))
+    ids = F.flatten(F.zip_with("segments", "rest", lambda a, b: F.concat(a, F.coalesce(b, none))))
+    return whole.unionByName(left.join(rest, "n").select("doc_id", ids.alias("ids")))
 
 
 def count_tokens(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens) of every row; the ids themselves are not moved."""
-    path = vocabulary(path)
-    words = written(split_words(docs, path, id_col, text_col), "words")
-    dictionary = written(word_table(words, path).select("word", "n_seen", F.size("ids").alias("k")), "word-table")
-    occ = words.select("n", F.explode("words").alias("word"))
-    got = _joined(occ, dictionary, "k").groupBy("n").agg(F.sum("k").alias("n_tokens"))
-    return words.select("n", "doc_id").join(got, "n", "left").select("doc_id", F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"))
+    coded, dictionary = _tables(docs, path, id_col, text_col)
+    known = F.aggregate("segments", F.lit(0).cast("long"), lambda s, x: s + F.size(x))
+    coded = written(coded.select("n", "doc_id", known.alias("known"), "tail"), "counted")
+    rest = coded.select("n", F.explode("tail").alias("word")).join(dictionary.select("word", F.size("ids").alias("k")).hint("merge"), "word").groupBy("n").agg(F.sum("k").alias("k"))
+    whole = coded.filter(F.size("tail") == 0).select("doc_id", F.col("known").alias("n_tokens"))
+    return whole.unionByName(coded.filter(F.size("tail") > 0).join(rest, "n").select("doc_id", (F.col("known") + F.col("k")).alias("n_tokens")))
 
 
 def pieces(spark: SparkSession, path: str | None = None) -> DataFrame:
@@ -126,9 +164,9 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id of every document and whether its decoded ids give its text again."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return docs.join(decode(encode(docs)).withColumnRenamed("text", "again"), "doc_id").select("doc_id", (F.coalesce("text", F.lit("")) == F.col("again")).alias("same"))
+    """doc_id of every document and whether its decoded ids give its text again; a digest of the text goes along with the id."""
+    docs = table(spark, sf_dir, "documents").select(F.struct("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("digest")).alias("id"), "text")
+    return decode(encode(docs, id_col="id")).select("doc_id.doc_id", (F.col("doc_id.digest") == F.md5("text")).alias("same"))
 
 
 SQL = {"p7_round_trip": "SELECT doc_id, true AS same FROM documents"}
