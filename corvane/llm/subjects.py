@@ -7,7 +7,7 @@ its words is beyond the calibrated margin, and a document if MIN_SENTENCES of it
 The margin is the one with the best F1 on labelled documents that weren't trained on; then the models are fitted on all.
 
 Labels: at most LABELLED documents, chosen by hash, a documented bound; the model has at most as many n-grams as they hold. All
-documents are scored, whole. Names, numbers and program lines are no words. Null, empty and blank texts have no subject; unknown
+documents are scored, whole. More than SUBJECTS subjects are an error. Names, numbers and program lines are no words. Null, empty and blank texts have no subject; unknown
 words say nothing; repeated ids are scored apart; without labels nothing is found.
 """
 
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from corvane.store import table
 
-LABELLED, MIN_SENTENCES = 4000, 3
+LABELLED, SUBJECTS, MIN_SENTENCES = 4000, 1000, 3
 UNIGRAM, SHARED, UNIFORM, PRIOR, DEAD = 0.9, 0.098, 0.002, 6.0, 1.2
 CLEAR, SECOND = 3.0, 0.6
 
@@ -117,9 +117,12 @@ def trained(docs, subjects: list[str]) -> tuple[Models, float, float]:
 
 
 def labelled(documents: DataFrame, labels: DataFrame, bound: int = LABELLED) -> list:
-    """The sentences and subjects of at most bound labelled documents."""
+    """The sentences and subjects of at most bound labelled documents. The ids go to the documents by broadcast, so no other text moves;
+    Of documents that repeat an id, the one of the least digest counts."""
     per_doc = labels.filter("subject is not null").groupBy("doc_id").agg(F.collect_set("subject").alias("subjects")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-    rows = per_doc.join(documents.filter("text is not null").select("doc_id", "text").dropDuplicates(["doc_id"]), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    mine = documents.filter("text is not null").select("doc_id", "text").join(F.broadcast(per_doc), "doc_id")
+    one = mine.groupBy("doc_id").agg(F.min_by(F.struct("text", "subjects"), F.md5("text")).alias("x")).select("doc_id", "x.*")
+    rows = one.orderBy(F.xxhash64("doc_id"), "doc_id").collect()
     return [(sentences(r["text"]), set(r["subjects"])) for r in rows]
 
 
@@ -144,7 +147,9 @@ def classify(documents: DataFrame, model: Models, margin: float) -> DataFrame:
 
 def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
-    subjects = [r["subject"] for r in table(spark, sf_dir, "subjects").select("subject").distinct().limit(1000).collect()]
+    subjects = [r["subject"] for r in table(spark, sf_dir, "subjects").select("subject").filter("subject is not null").distinct().orderBy("subject").limit(SUBJECTS + 1).collect()]
+    if len(subjects) > SUBJECTS:
+        raise ValueError(f"more than {SUBJECTS} subjects")
     docs = labelled(documents, table(spark, sf_dir, "subject_labels"))
     model, margin, _ = trained(docs, subjects)
     return classify(documents, model, margin)
