@@ -6,12 +6,12 @@ window only if they share its minimiser, so:
 2. minimisers of one row only drop out (pre-aggregated); equal super-k-mers of two rows settle all their windows at once;
 3. of the rest, one exemplar per distinct super-k-mer travels as one packed string to its minimiser's bucket, where all windows
    are sorted by hash and counted; windows that fall together are compared code point by code point;
-4. buckets of more than HOT distinct strings would burden one task: their windows are counted by a shuffle on the window's
-   128-bit hash instead, with partial aggregation.
+4. buckets of more than HOT distinct strings would burden one task: they are split by their windows, which are grouped as text,
+   with partial aggregation. The result is the same at any HOT.
 The flags go back to all occurrences and are merged into spans per row.
 
 Null texts and texts shorter than K have no span. Rows that repeat a row_id are one record. Texts of any length are handled whole.
-Runs with equal (minimiser, run) hashes, 128 bits together, are taken as equal.
+Runs with equal (minimiser, run) hashes, 128 bits together, are taken as equal; windows are compared code point by code point.
 """
 
 from __future__ import annotations
@@ -118,24 +118,20 @@ def counted(packed: DataFrame, k: int) -> DataFrame:
     return packed.repartition("mz").sortWithinPartitions("mz").mapInArrow(run, "mz long, sk long, w0 int, w1 int")
 
 
-def counted_by_shuffle(packed: DataFrame, k: int) -> DataFrame:
-    """The same for hot buckets: each window by its 128-bit hash, partially aggregated before the shuffle."""
+def counted_by_window(packed: DataFrame, k: int) -> DataFrame:
+    """The same for hot buckets, split by the window itself: each window is a group of its own, compared as text and partially
+    aggregated before the shuffle."""
 
     def run(batches):
         for b in batches:
             t = b.to_pandas()
-            for first, codes, edges in blocks(t["s"].tolist()):
-                wins = np.diff(edges) - k + 1
-                run_of = np.repeat(np.arange(len(wins)), wins)
-                j = np.arange(len(run_of)) - np.repeat(np.cumsum(wins) - wins, wins)
-                at = edges[:-1][run_of] + j
-                i = first + run_of
-                yield pa.record_batch([pa.array(t[c].to_numpy()[i]) for c in ("mz", "sk", "lo", "hi")] + [pa.array(j.astype(np.int32)), pa.array(signed(Stretch(codes).of(at, at + k))), pa.array(signed(Stretch(codes, 1).of(at, at + k)))], ["mz", "sk", "lo", "hi", "w", "h1", "h2"])
+            for i, s in enumerate(t["s"]):
+                n = len(s) - k + 1
+                yield pa.record_batch([pa.array([t[c][i]] * n, pa.int64()) for c in ("mz", "sk", "lo", "hi")] + [pa.array(np.arange(n, dtype=np.int32)), pa.array([s[j : j + k] for j in range(n)], pa.string())], ["mz", "sk", "lo", "hi", "w", "window"])
 
-    wins = packed.mapInArrow(run, "mz long, sk long, lo long, hi long, w int, h1 long, h2 long")
-    shared = wins.groupBy("h1", "h2").agg(F.min("lo").alias("a"), F.max("hi").alias("b")).filter("a < b").select("h1", "h2")
-    hit = wins.join(shared, ["h1", "h2"]).groupBy("mz", "sk").agg(F.array_sort(F.collect_set("w")).alias("ws"))
-    return hit.select("mz", "sk", F.explode("ws").alias("w0")).withColumn("w1", F.col("w0"))
+    wins = packed.mapInArrow(run, "mz long, sk long, lo long, hi long, w int, window string")
+    shared = wins.groupBy("window").agg(F.min("lo").alias("a"), F.max("hi").alias("b")).filter("a < b").select("window")
+    return wins.join(shared, "window").select("mz", "sk", F.col("w").alias("w0"), F.col("w").alias("w1"))
 
 
 def shared_spans(texts: DataFrame, k: int = K, m: int = M) -> DataFrame:
@@ -156,7 +152,7 @@ def shared_spans(texts: DataFrame, k: int = K, m: int = M) -> DataFrame:
         hits = counted(packed.drop("n_sk"), k)
     else:
         packed = written(packed, "packed-super-kmers")
-        hits = counted(packed.filter(F.col("n_sk") <= HOT).drop("n_sk"), k).unionByName(counted_by_shuffle(packed.filter(F.col("n_sk") > HOT).drop("n_sk"), k))
+        hits = counted(packed.filter(F.col("n_sk") <= HOT).drop("n_sk"), k).unionByName(counted_by_window(packed.filter(F.col("n_sk") > HOT).drop("n_sk"), k))
     hits = written(hits, "shared-windows")
     whole = live.join(distinct.filter("lo < hi").select("mz", "sk"), ["mz", "sk"]).select("row_id", F.col("start").alias("a"), (F.col("start") + F.col("n_win") + (k - 1)).alias("b"))
     partly = live.join(hits.join(distinct.filter("lo < hi").select("mz", "sk"), ["mz", "sk"], "left_anti"), ["mz", "sk"]).select("row_id", (F.col("start") + F.col("w0")).alias("a"), (F.col("start") + F.col("w1") + k).alias("b"))
