@@ -2,103 +2,163 @@
 
 A pair counts if (a) the canonical programs agree, (b) the word-run sets of the programs reach the similarity, or (c) the letters and
 digits of the question stand in one piece in those of the training program.
-(a) is an equi-join on a digest of the renamed token sequence. (b) partitions the evaluation records' n-gram hashes, scans training for
-hits, ranks each evaluation record's n-grams by their hits and follows the rarest (those that can't all be missing at the
-similarity) to candidates, whose containment and similarity are computed in full. (c) follows each question's least character-gram,
-which any text that holds the question has among its minimisers, and confirms by the text itself; questions shorter than
-one window are looked up by all windows of their length.
+(a) is an equi-join on a digest of the renamed token sequence; the programs of equal digests are compared themselves.
+(b) The evaluation records' n-gram hashes are partitioned, those that can't all be missing at the similarity: the rarest by their
+frequency in training. Training is scanned for hits; a table of fixed size tells at once which hashes nobody asked for. What two
+records can share behind a hit bounds them, and the containment of the evaluation record in the training record, and the similarity,
+are computed in full for the rest (metric_join.confirmed).
+(c) follows each question's least character-gram, which any text that holds the question has among its minimisers, and confirms by the
+text itself; questions shorter than one window are asked for by their first characters, at every place, in the same scan.
 Copies within a split are collapsed before and expanded after. Null or empty programs and questions are in no pair by that rule.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.functions.text import let
-from corvane.llm.metric_join import classes, confirmed, need
-from corvane.llm.windows import blocks, cut_long, minimised, signed
-from corvane.store import table, written
+from corvane.llm.metric_join import asked_places, classes, confirmed, is_asked, levels, may_reach, windows_of
+from corvane.llm.windows import Stretch, blocks, cut_long, minimised, signed
+from corvane.store import bounded, table, written
 
 SIMILARITY, RUN = 0.5, 3
 GRAM, WINDOW = 16, 32
 
+_COMMENT = re.compile(r"//[^\n\r]*")
+_TOKEN = re.compile(r"[%@][\w$.-]+|\w+|[^\s\w]", re.A)
+
+
+def canonical_program(text: str) -> str:
+    """Tokens without comments, layout and case; functions are @F, values numbered by first occurrence. For text in lower case."""
+    number: dict[str, str] = {}
+    out = []
+    for x in _TOKEN.findall(_COMMENT.sub("", text)):
+        if len(x) > 1 and x[0] == "%":
+            x = number.setdefault(x, f"%{len(number) + 1}")
+        elif len(x) > 1 and x[0] == "@":
+            x = "@f"
+        out.append(x)
+    return " ".join(out)
 
-def canonical_program(text: Column) -> Column:
-    """Tokens without comments, layout and case; functions are @F, values numbered by first occurrence."""
-    tokens = F.regexp_extract_all(F.lower(F.regexp_replace(text, r"//[^\n\r]*", "")), F.lit(r"[%@][\w$.-]+|\w+|[^\s\w]"), F.lit(0))
-    is_value, is_function = (lambda x: x.startswith("%") & (F.length(x) > 1)), (lambda x: x.startswith("@") & (F.length(x) > 1))
-    name = lambda x, values: F.when(is_value(x), F.concat(F.lit("%"), F.array_position(values, x))).when(is_function(x), F.lit("@f")).otherwise(x)
-    renamed = lambda t, values: F.array_join(F.transform(t, lambda x: name(x, values)), " ")
-    return let(tokens, lambda t: F.when(F.size(t) > 0, let(F.array_distinct(F.filter(t, is_value)), lambda values: renamed(t, values))))
+
+def canonical(rows: DataFrame, name: str, whole: bool = False) -> DataFrame:
+    """(row_id, mlir) -> (name, d), a digest of each canonical program that isn't empty; with whole, the program in its place."""
+
+    def run(batches):
+        for b in batches:
+            texts = [canonical_program(x) for x in b.column(1).to_pylist()]
+            at = [i for i, x in enumerate(texts) if x]
+            d = [texts[i].encode() if whole else hashlib.blake2b(texts[i].encode(), digest_size=16).digest() for i in at]
+            yield pa.record_batch([b.column(0).take(pa.array(at, pa.int64())), pa.array(d, pa.binary())], [name, "d"])
+
+    return rows.filter("mlir is not null").select(F.col("row_id").cast("long"), F.lower("mlir").alias("mlir")).mapInArrow(run, f"{name} long, d binary")
 
 
 def same_program(ev: DataFrame, tr: DataFrame) -> DataFrame:
-    """(dev, train) of (row_id, mlir) with equal canonical programs; digests first, then the text itself."""
-    x = ev.select(F.col("row_id").alias("dev"), canonical_program(F.col("mlir")).alias("c")).filter("c is not null").withColumn("d", F.md5("c"))
-    y = tr.select(F.col("row_id").alias("train"), canonical_program(F.col("mlir")).alias("c2")).filter("c2 is not null").withColumn("d", F.md5("c2"))
-    return x.join(y, "d").filter("c = c2").select("dev", "train")
+    """(dev, train) of (row_id, mlir) with equal canonical programs; digests first, then the programs of those that agree."""
+    hits = written(canonical(ev, "dev").join(canonical(tr, "train"), "d").select("dev", "train"), "same-digest")
+    only = lambda rows, name: rows.join(bounded(hits.select(F.col(name).alias("row_id")).distinct()), "row_id", "left_semi")
+    x, y = canonical(only(ev, "dev"), "dev", True), canonical(only(tr, "train"), "train", True)
+    return hits.join(x.withColumnRenamed("d", "c"), "dev").join(y, "train").filter("c = d").select("dev", "train")
+
+
+def similar_classes(ev_sets: DataFrame, tr_sets: DataFrame, t: float = SIMILARITY) -> DataFrame:
+    """(a, b, containment, similarity) of the classes of both splits whose similarity reaches t."""
+    order = levels(tr_sets)
+    asked = written(windows_of(ev_sets, order, t, ("a", "na", "pa")), "asked")
+    hits = windows_of(tr_sets, order, t, ("b", "nb", "pb"), asked_places(asked, "path"))
+    met = hits.drop("big").join(asked.drop("big"), "path").filter(may_reach(t)).select("a", "b").distinct()
+    return confirmed(met, ev_sets, tr_sets, t)
 
 
 def similar_program(ev: DataFrame, tr: DataFrame, t: float = SIMILARITY, n: int = RUN) -> DataFrame:
+    """(dev, train, containment, similarity) of all pairs of rows whose programs reach t."""
     ev_members, ev_sets = classes(ev.select("row_id", F.col("mlir").alias("text")), n)
     tr_members, tr_sets = classes(tr.select("row_id", F.col("mlir").alias("text")), n)
-    asked = ev_sets.select(F.col("rep").alias("dev"), "n", F.explode("grams").alias("g"))
-    hits = written(tr_sets.select(F.col("rep").alias("train"), F.col("n").alias("n_train"), F.explode("grams").alias("g")).join(asked.select("g").distinct(), "g"), "hits")
-    df = hits.groupBy("g").agg(F.count("*").alias("df"))
-    order = asked.join(df, "g").groupBy("dev", "n").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("o"))
-    follow = order.select("dev", "n", F.explode(F.slice("o", 1, F.greatest(F.lit(0), F.size("o") - need(F.col("n"), t) + 1))).alias("x")).select("dev", "n", F.col("x.g").alias("g"))
-    met = hits.join(follow, "g").filter(F.least("n", "n_train") >= F.greatest("n", "n_train") * t).select(F.col("dev").alias("a"), F.col("train").alias("b")).distinct()
-    got = confirmed(met, ev_sets, tr_sets, t)
     x, y = ev_members.select(F.col("rep").alias("a"), F.col("row_id").alias("dev")), tr_members.select(F.col("rep").alias("b"), F.col("row_id").alias("train"))
-    return got.join(x, "a").join(y, "b").select("dev", "train")
+    return similar_classes(ev_sets, tr_sets, t).join(x, "a").join(y, "b").select("dev", "train", "containment", "similarity")
 
 
 def letters(text: Column) -> Column:
     return F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}]+", ""))
 
 
-def grams(rows: DataFrame, kind: str, m: int = GRAM, w: int = WINDOW) -> DataFrame:
-    """(row_id, s) -> (row_id, m, h). kind: 'all' minimisers, or the 'least' gram of each text."""
+def least_grams(questions: DataFrame, m: int = GRAM, w: int = WINDOW) -> DataFrame:
+    """(row_id, s) -> (dev, m, h): of each question its least m-gram; of one too short for a window, its first characters."""
+
+    def run(batches):
+        for b in batches:
+            ids, texts = b.column(0).to_numpy(), b.column(1).to_pylist()
+            where = [np.array([i for i, t in enumerate(texts) if (len(t) >= m + w - 1) == long], np.int64) for long in (True, False)]
+            whole, _, parts = cut_long([texts[i] for i in where[0]], m + w - 1)
+            best: dict[int, int] = {}
+            for first, codes, edges in blocks(parts):
+                owner, starts, _, place, s = minimised(codes, edges, m, w)
+                if len(starts):
+                    for o, h in zip((first + owner).tolist(), s.of(place, place + m).tolist()):
+                        i = int(whole[o])
+                        if i not in best or h >> 32 < best[i] >> 32:  # ordered as minimisers are, the leftmost of equals
+                            best[i] = h
+            got = [(int(ids[where[0][i]]), m, h) for i, h in best.items()]
+            for i in where[1]:
+                k = min(len(texts[i]), m)
+                codes = np.frombuffer(texts[i][:k].encode("utf-32-le", "surrogatepass"), np.uint32)
+                got.append((int(ids[i]), k, int(Stretch(codes).of(np.array([0]), np.array([k]))[0])))
+            rows = list(zip(*got)) or [(), (), ()]
+            yield pa.record_batch([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int32()), pa.array(signed(np.array(rows[2], np.uint64)))], ["dev", "m", "h"])
+
+    return questions.mapInArrow(run, "dev long, m int, h long")
+
+
+def asked_grams(programs: DataFrame, bits: np.ndarray, lengths: list[int], m: int = GRAM, w: int = WINDOW) -> DataFrame:
+    """(row_id, s) -> (train, m, h): the minimisers of each text, and its grams of the given lengths at every place, that are asked for."""
+    held = programs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches):
+        bits = held.value
         for b in batches:
             ids = b.column(0).to_numpy()
             whole, _, parts = cut_long(b.column(1).to_pylist(), m + w - 1)
             for first, codes, edges in blocks(parts):
-                owner, starts, runs, place, s = minimised(codes, edges, m, w)
-                if not len(starts):
-                    continue
-                h = s.of(place, place + m)
-                if kind == "least":
-                    order = np.lexsort((place, h >> np.uint64(32), owner))
-                    keep = order[np.r_[True, np.diff(owner[order]) > 0]]
-                    owner, h = owner[keep], h[keep]
-                yield pa.record_batch([pa.array(ids[whole[first + owner]]), pa.array(np.full(len(owner), m, np.int32)), pa.array(signed(h))], ["row_id", "m", "h"])
-
-    return rows.mapInArrow(run, "row_id long, m int, h long")
+                found = []
+                owner, starts, _, place, s = minimised(codes, edges, m, w)
+                if len(starts):
+                    found.append((owner, m, s.of(place, place + m)))
+                if lengths:
+                    s = s or Stretch(codes)
+                    owner = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+                    at = np.arange(len(codes))
+                    for k in lengths:
+                        fits = np.flatnonzero(at + k <= edges[1:][owner])
+                        found.append((owner[fits], k, s.of(fits, fits + k)))
+                for owner, k, h in found:
+                    keep = is_asked(bits, signed(h))
+                    if keep.any():
+                        got = np.unique(np.rec.fromarrays([ids[whole[first + owner[keep]]], signed(h[keep])], names="i,h"))
+                        yield pa.record_batch([pa.array(np.ascontiguousarray(got.i)), pa.array(np.full(len(got), k, np.int32)), pa.array(np.ascontiguousarray(got.h))], ["train", "m", "h"])
+
+    return programs.mapInArrow(run, "train long, m int, h long")
 
 
 def held_question(ev: DataFrame, tr: DataFrame) -> DataFrame:
     """(dev, train): the question's letters and digits stand in one piece in those of the program."""
     q = written(ev.select(F.col("row_id").cast("long").alias("row_id"), letters(F.col("nl")).alias("s")).filter("s <> ''"), "questions")
-    p = written(tr.select(F.col("row_id").cast("long").alias("row_id"), letters(F.col("mlir")).alias("s")).filter("s <> ''"), "programs")
-    least = GRAM + WINDOW - 1
-    asked, given = grams(q.filter(F.length("s") >= least), "least"), grams(p, "all")
-    short = q.filter(F.length("s") < least)
-    for n in sorted(r["n"] for r in short.select(F.length("s").alias("n")).distinct().collect()):  # at most GRAM + WINDOW - 2 lengths
-        asked = asked.unionByName(grams(short.filter(F.length("s") == n), "least", n, 1))
-        given = given.unionByName(grams(p, "all", n, 1))
-    met = given.withColumnRenamed("row_id", "train").join(asked.withColumnRenamed("row_id", "dev"), ["m", "h"]).select("dev", "train").distinct()
-    got = met.join(q.select(F.col("row_id").alias("dev"), F.col("s").alias("q")), "dev").join(p.select(F.col("row_id").alias("train"), "s"), "train")
-    return got.filter(F.contains("s", "q")).select("dev", "train")
+    p = tr.select(F.col("row_id").cast("long").alias("row_id"), letters(F.col("mlir")).alias("s")).filter("s <> ''")
+    asked = written(least_grams(q), "least-grams")
+    short = [r["m"] for r in q.filter(F.length("s") < GRAM + WINDOW - 1).select(F.least(F.length("s"), F.lit(GRAM)).alias("m")).distinct().collect()]  # at most GRAM rows
+    met = written(asked_grams(p, asked_places(asked, "h"), sorted(short)).join(asked, ["m", "h"]).select("dev", "train").distinct(), "held")
+    texts = p.join(bounded(met.select(F.col("train").alias("row_id")).distinct()), "row_id", "left_semi").withColumnRenamed("row_id", "train")
+    return met.join(q.select(F.col("row_id").alias("dev"), F.col("s").alias("q")), "dev").join(texts, "train").filter(F.contains("s", "q")).select("dev", "train")
 
 
 def pairs(ev: DataFrame, tr: DataFrame) -> DataFrame:
     """(dev, train, how) by each rule; a pair may come by several."""
-    rules = (("same_program", same_program(ev, tr)), ("similar_program", similar_program(ev, tr)), ("question_held", held_question(ev, tr)))
+    rules = (("same_program", same_program(ev, tr)), ("similar_program", similar_program(ev, tr).select("dev", "train")), ("question_held", held_question(ev, tr)))
     out = None
     for how, found in rules:
         found = found.withColumn("how", F.lit(how))
@@ -121,6 +181,13 @@ def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("split", "source").agg(F.count("*").alias("n"), F.count("same_program").alias("n_overlap"), *[n(h).alias("n_" + h) for h in ("same_program", "similar_program", "question_held")])
 
 
+def p5_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per evaluation and training record of similar programs: how much of the evaluation record the training record holds, and how
+    alike they are."""
+    got = similar_program(table(spark, sf_dir, "dev_v1"), table(spark, sf_dir, "train_v1"))
+    return got.select(F.col("dev").alias("dev_row_id"), F.col("train").alias("train_row_id"), F.round("containment", 9).alias("containment"), F.round("similarity", 9).alias("similarity"))
+
+
 _RULES = r"""
   WITH tok AS (SELECT 'd' AS side, row_id, mlir, nl FROM dev_v1 UNION ALL SELECT 't', row_id, mlir, NULL FROM train_v1),
   tk AS (SELECT side, row_id, regexp_extract_all(lower(regexp_replace(mlir, '//[^\n\r]*', '', 'g')), '[%@][\w$.-]+|\w+|[^\s\w]') AS t FROM tok WHERE mlir IS NOT NULL),
@@ -137,6 +204,7 @@ _SIMILAR = "FROM p JOIN n a ON a.side = 'd' AND a.row_id = x JOIN n b ON b.side
 _SAME = "FROM canon a JOIN canon b ON a.side = 'd' AND b.side = 't' AND a.c = b.c"
 _HELD = "FROM l a JOIN l b ON a.side = 'd' AND b.side = 't' AND a.q <> '' AND contains(b.s, a.q)"
 SQL = {
+    "p5_links": f"{_RULES} SELECT x AS dev_row_id, y AS train_row_id, round(c / a.n, 9) AS containment, round(c / (a.n + b.n - c), 9) AS similarity {_SIMILAR}",
     "p5_found": f"{_RULES} SELECT x AS dev_row_id, y AS train_row_id {_SIMILAR} UNION SELECT a.row_id, b.row_id {_SAME} UNION SELECT a.row_id, b.row_id {_HELD}",
     "p5_report": f"""{_RULES}, h AS (SELECT DISTINCT x AS row_id, 'similar' AS how {_SIMILAR} UNION SELECT a.row_id, 'same' {_SAME} UNION SELECT a.row_id, 'held' {_HELD}),
       k AS (SELECT row_id, bool_or(how = 'same') AS same, bool_or(how = 'similar') AS sim, bool_or(how = 'held') AS held FROM h GROUP BY 1)

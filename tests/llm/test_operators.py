@@ -47,11 +47,11 @@ def near_copies(seed):
     return list(enumerate(rows))
 
 
-@pytest.mark.parametrize(("t", "hot"), [(0.5, 4096), (0.5, 3), (0.8, 2), (0.34, 5)])
-def test_metric_join_is_exact_at_any_crowding(spark, t, hot):
+@pytest.mark.parametrize(("t", "hot", "depth"), [(0.5, 4096, 3), (0.5, 3, 3), (0.8, 2, 2), (0.34, 5, 1), (0.5, 2, 1)])
+def test_metric_join_is_exact_at_any_crowding(spark, t, hot, depth):
     rows = near_copies(int(t * 100) + hot)
     members, sets = metric_join.classes(frame(spark, rows, "row_id long, text string"), 3)
-    got = {tuple(r) for r in metric_join.expanded(metric_join.links(sets, t, hot), members).collect()}
+    got = {tuple(r) for r in metric_join.expanded(metric_join.links(sets, t, hot, depth), members).collect()}
     assert got == brute_pairs(rows, t)
 
 
@@ -209,10 +209,25 @@ def test_similar_programs_against_brute_force(spark):
     rows = near_copies(77)
     dev, train = [(i, None, t) for i, t in rows if i % 3 == 0], [(i, None, t) for i, t in rows if i % 3]
     schema = "row_id long, nl string, mlir string"
-    got = {tuple(r) for r in overlap.similar_program(frame(spark, dev, schema), frame(spark, train, schema)).collect()}
+    full = overlap.similar_program(frame(spark, dev, schema), frame(spark, train, schema)).collect()
+    words = {i: re.findall("[a-z0-9_]+", (t or "").lower()) for i, t in rows}
+    sets = {i: {tuple(w[j : j + 3]) for j in range(len(w) - 2)} for i, w in words.items()}
+    assert all(abs(r.containment - len(sets[r.dev] & sets[r.train]) / len(sets[r.dev])) < 1e-12 for r in full)
+    got = {(r.dev, r.train) for r in full}
     assert got == {(a, b) if a % 3 == 0 else (b, a) for a, b in brute_pairs(rows, 0.5) if (a % 3 == 0) != (b % 3 == 0)}
 
 
+def test_questions_of_all_lengths(spark):
+    rng = random.Random(8)
+    make = lambda n: "".join(rng.choice("abcdef") for _ in range(n))
+    train = [(1000 + i, None, make(300)) for i in range(12)] + [(2000, None, "ab-c " * 3), (2001, None, None)]
+    dev = [(n, " ".join(train[n % 12][2][n : 2 * n]), None) for n in range(1, 90)] + [(500 + n, make(n), None) for n in (1, 2, 3, 5, 15, 16, 17, 46, 47, 60)] + [(600, None, None), (601, " - ", None)]
+    schema = "row_id long, nl string, mlir string"
+    got = {tuple(r) for r in overlap.held_question(frame(spark, dev, schema), frame(spark, train, schema)).collect()}
+    only = lambda s: re.sub("[^a-z0-9]", "", s or "")
+    assert got == {(d, t) for d, q, _ in dev for t, _, m in train if only(q) and only(q) in only(m)}
+
+
 # 6: defects
 
 EN = "Write a function named `f` that takes the first argument and adds the second argument to it, then returns the result."
@@ -298,9 +313,13 @@ def test_defects_without_a_language_model(spark):
 ODD = [None, "", " ", "\n\n  x", "don't we'll", "<|endoftext|> a", "naïve école 日本語 🙂👩‍💻", "a b c\u0085d", "x = 12345.678e-9;;  ", "\u0000\u0001", "i32" * 4000, "İSTANBUL ǅ ß", "\U0001e4d0\U000e0001 new letters", "\x1c\x1d|\x1f"]
 
 
-def test_tokens_equal_the_tokenizer(spark):
+@pytest.mark.parametrize("head", [1 << 17, 3, 0])
+def test_tokens_equal_the_tokenizer(spark, monkeypatch, head):
+    monkeypatch.setattr(tokens, "HEAD", head)
     rows = [(i, t, "clash", 1) for i, t in enumerate(ODD)] + [(3, "repeated id", "c", 2)]
     got = sorted((r.doc_id, list(r.ids)) for r in tokens.encode(frame(spark, rows, "doc_id long, text string, word string, pos int")).collect())
+    none = frame(spark, [(None, "null id, twice"), (None, "null id, twice")], "doc_id long, text string")
+    assert [len(r.ids) for r in tokens.encode(none).collect()] == [4, 4] == [r.n_tokens for r in tokens.count_tokens(none).collect()]
     t = tokens._encoder(tokens.vocabulary())
     assert got == sorted((i, t.encode(x or "", add_special_tokens=False).ids) for i, x, *_ in rows)
 
