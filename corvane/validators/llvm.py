@@ -1,8 +1,10 @@
-"""LLVM IR functions: scope by dominance. Dominators are found on immediate-dominator chains in reverse postorder."""
+"""LLVM IR functions: scope by dominance. Instructions are read into flat facts, which are checked kind by kind. Dominators are found on immediate-dominator chains in reverse postorder."""
 
 from __future__ import annotations
 
 import re
+from collections import Counter
+from typing import NamedTuple
 
 _VALUE, _LABEL = re.compile(r"%([\w.$-]+)"), re.compile(r"label\s+%([\w.$-]+)")
 _DEFINE = re.compile(r"define\b[^@]*@[\w.$-]+\s*\(([^)]*)\)[^{]*\{(.*?)^\s*\}", re.S | re.M)
@@ -79,50 +81,99 @@ def dominators(succ: dict[str, list[str]], entry: str) -> dict[str, set[str]]:
     return out
 
 
+class Fact(NamedTuple):
+    """One thing that an instruction says: it defines a value, uses one, jumps to a label, or is a phi with an arm from a block."""
+
+    kind: str  # def, use, jump, phi, arm
+    name: str
+    block: str
+    at: int
+    text: str
+    source: str = ""  # the block that an arm comes from
+
+
+def facts(blocks) -> list[Fact]:
+    out = []
+    for block, instructions in blocks:
+        for at, (result, op, text) in enumerate(instructions):
+            if result is not None:
+                out.append(Fact("def", result, block, at, text))
+            labels = _LABEL.findall(text)
+            out += [Fact("jump" if op in ("br", "switch") else "label", x, block, at, text) for x in labels]
+            if op == "phi":
+                out.append(Fact("phi", "", block, at, text))
+                out += [Fact("arm", v, block, at, text, source) for v, source in _PHI.findall(text)]
+            else:
+                out += [Fact("use", v, block, at, text) for v in _VALUE.findall(_LABEL.sub(" ", text))]
+    return out
+
+
+def _redefined(said: list[Fact], params: set[str]):
+    counts = Counter(params)
+    for f in said:
+        if f.kind == "def":
+            counts[f.name] += 1
+            if counts[f.name] > 1:
+                yield "redefinition", f.name, f.text
+
+
+def _phis(said: list[Fact], blocks, dom: dict[str, set[str]]):
+    """Phis behind other instructions, and phis whose arms aren't the edges into their block."""
+    edges = Counter((f.name, f.block) for f in said if f.kind == "jump")
+    arms: dict[tuple, Counter] = {}
+    for f in said:
+        if f.kind == "arm":
+            arms.setdefault((f.block, f.at), Counter())[f.source] += 1
+    begin = {block: next((i for i, x in enumerate(ins) if x[1] != "phi"), len(ins)) for block, ins in blocks}
+    into: dict[str, Counter] = {}
+    for (target, source), n in edges.items():
+        into.setdefault(target, Counter())[source] = n
+    for f in said:
+        if f.kind == "phi":
+            if f.at > begin[f.block]:
+                yield "bad_phi", "", f.text
+            if f.block in dom and arms.get((f.block, f.at), Counter()) != into.get(f.block, Counter()):
+                yield "bad_phi", "", f.text
+
+
+def _uses(said: list[Fact], params: set[str], dom: dict[str, set[str]]):
+    """Values that aren't defined, not yet, or not on every way to their use. An arm is a use at the end of the block it comes from."""
+    place = {f.name: (f.block, f.at) for f in said if f.kind == "def"}
+    for f in said:
+        if f.kind not in ("use", "arm") or (f.kind == "arm" and f.name[:1] != "%"):
+            continue
+        name = f.name.removeprefix("%") if f.kind == "arm" else f.name
+        if name in params:
+            continue
+        if name not in place:
+            yield "undef_use", name, f.text
+            continue
+        block, at = place[name]
+        if f.kind == "arm":
+            if f.block in dom and f.source in dom and block not in dom[f.source]:
+                yield "bad_phi", name, f.text
+        elif block == f.block:
+            if at >= f.at:
+                yield "use_before_def", name, f.text
+        elif f.block in dom and block not in dom[f.block]:
+            yield "not_dominated", name, f.text
+
+
 def check(text: str) -> list[tuple[str, str, str]]:
     """Violations (kind, name, line) over all functions."""
     bad: list[tuple[str, str, str]] = []
-    for params, body in _DEFINE.findall(text):
-        known = set(_VALUE.findall(params))
-        blocks = blocks_of(body)
+    for heads, body in _DEFINE.findall(text):
+        params, blocks = set(_VALUE.findall(heads)), blocks_of(body)
         if not blocks:
             continue
-        where: dict[str, tuple[str, int]] = {}
-        succ = {label: [x for _, op, t in ins for x in _LABEL.findall(t) if op in ("br", "switch")] for label, ins in blocks}
-        for label, ins in blocks:
-            for i, (res, _, t) in enumerate(ins):
-                if res is not None:
-                    if res in where or res in known:
-                        bad.append(("redefinition", res, t))
-                    where[res] = (label, i)
+        said, labels = facts(blocks), {b for b, _ in blocks}
+        succ: dict[str, list[str]] = {b: [] for b, _ in blocks}
+        for f in said:
+            if f.kind == "jump":
+                succ[f.block].append(f.name)
         dom = dominators(succ, blocks[0][0])
-        for label, ins in blocks:
-            others = False
-            for i, (_, op, t) in enumerate(ins):
-                bad += [("undef_label", x, t) for x in _LABEL.findall(t) if x not in succ]
-                if op == "phi":
-                    if others:
-                        bad.append(("bad_phi", "", t))
-                    arms = _PHI.findall(t)
-                    if label in dom and sorted(p for _, p in arms) != sorted(p for p in succ if label in succ[p] for _ in range(succ[p].count(label))):
-                        bad.append(("bad_phi", "", t))
-                    for v, p in arms:
-                        if not v.startswith("%") or v[1:] in known:
-                            continue
-                        if v[1:] not in where:
-                            bad.append(("undef_use", v[1:], t))
-                        elif label in dom and p in dom and where[v[1:]][0] not in dom[p]:
-                            bad.append(("bad_phi", v[1:], t))
-                    continue
-                others = True
-                for v in _VALUE.findall(_LABEL.sub(" ", t)):
-                    if v in known:
-                        continue
-                    if v not in where:
-                        bad.append(("undef_use", v, t))
-                    elif where[v][0] == label:
-                        if where[v][1] >= i:
-                            bad.append(("use_before_def", v, t))
-                    elif label in dom and where[v][0] not in dom[label]:
-                        bad.append(("not_dominated", v, t))
+        bad += _redefined(said, params)
+        bad += [("undef_label", f.name, f.text) for f in said if f.kind in ("jump", "label") and f.name not in labels]
+        bad += _phis(said, blocks, dom)
+        bad += _uses(said, params, dom)
     return bad

@@ -8,7 +8,10 @@ what it defines. Operations without a rule are abstained on; what they define ha
 from __future__ import annotations
 
 import re
+from collections import ChainMap
+from typing import NamedTuple
 
+#: The operations of each kind.
 INT_BINARY = "addi subi muli divsi divui andi ori xori shli shrsi shrui maxsi maxui minsi minui remsi remui".split()
 FLOAT_BINARY = "addf subf mulf divf remf maxf minf maximumf minimumf".split()
 CASTS = "extsi extui trunci sitofp uitofp fptosi fptoui extf truncf index_cast index_castui bitcast".split()
@@ -69,152 +72,157 @@ def clauses(s: str) -> list[tuple[str, str]]:
     return out
 
 
-class Walk:
-    """A stack of regions with the types of the names in each."""
+def results_of(head: str) -> list[str]:
+    """The types behind an arrow."""
+    m = re.search(r"->\s*(?:\(([^)]*)\)|([^\s{(]+))", head)
+    return split_top(m.group(1) if m.group(1) is not None else m.group(2)) if m else []
+
+
+def typing(op: str, rest: str, n_results: int) -> tuple[list[tuple[str, str | None]], list[str | None], bool]:
+    """What one operation asks and gives: its operands with the types they must have, the types of its results, and whether its
+    operands agree among themselves. None is a type that agrees with all."""
+    rule, type_, used = RULES.get(op), after_colon(rest), _NAME.findall(rest)
+    if op.startswith("linalg."):
+        pairs = clauses(rest)
+        return pairs, [None], len({element(t) or tight(t) for _, t in pairs}) <= 1
+    if rule == "const":
+        return [], [type_], True
+    if rule == "same":
+        return [(n, type_) for n in used], [type_], True
+    if rule == "compare":
+        return [(n, type_) for n in used], ["i1"], True
+    if rule == "select":
+        return [(n, type_ if i else "i1") for i, n in enumerate(used)], [type_], True
+    if rule == "cast":
+        source, _, target = (type_ or "").partition(" to ")
+        return [(n, source or None) for n in used], [target.strip() or None], True
+    if rule in ("load", "dim"):
+        return [(n, "index" if i else type_) for i, n in enumerate(used)], [element(type_ or "") if rule == "load" else "index"], True
+    if rule == "store":
+        return list(zip(used, [element(type_ or ""), type_, *["index"] * len(used)])), [type_], True
+    if rule == "listed":
+        m = re.search(r":\s*\(([^)]*)\)\s*->\s*(.+)$", rest, re.S)
+        return list(zip(used, split_top(m.group(1)) if m else [None] * len(used))), [m.group(2).strip() if m else None], True
+    return [], [None] * n_results, True
+
+
+class Node(NamedTuple):
+    """A statement; of a module, function, loop or branch with what stands in it. orelse is None where there is no else."""
+
+    results: list[str]
+    op: str
+    rest: str
+    body: list
+    orelse: list | None
+
+
+def tree(text: str) -> tuple[list[Node], list[str]]:
+    """The statements as a tree of regions, and what is wrong with its form: closing braces too many, an else without an if, regions that
+    stay open. An else without an if is a branch of its own."""
+    top: list[Node] = []
+    open_, wrong = [top], []
+    for results, op, rest in pieces(text):
+        here = open_[-1]
+        if op == "}":
+            if len(open_) == 1:
+                wrong.append("}")
+            else:
+                open_.pop()
+        elif op == "else":
+            if here and here[-1].op == "scf.if" and here[-1].orelse is None:
+                here[-1] = here[-1]._replace(orelse=[])
+            else:
+                wrong.append("else")
+                here.append(Node([], "scf.if", "", [], []))
+            open_.append(here[-1].orelse)
+        else:
+            here.append(Node(results, op, rest, [], None))
+            if op in ("module", "scf.for", "scf.if") or (op == "func.func" and "{" in rest):
+                open_.append(here[-1].body)
+    return top, wrong + ["unclosed"] * (len(open_) > 1)
+
+
+class Scopes:
+    """Checks a tree against the names in scope. A scope is a map of names to types, in which those of the regions around are found too."""
 
     def __init__(self):
-        self.frames: list[dict] = [{"kind": "top", "names": {}}]
         self.bad: list[tuple[str, str, str]] = []
-        self.line = ""
-        self.waiting: dict | None = None  # a closed then-region that else may follow
-
-    def flag(self, kind: str, name: str = "") -> None:
-        self.bad.append((kind, name, self.line))
-
-    def use(self, name: str, type_: str | None) -> None:
-        for f in reversed(self.frames):
-            if name in f["names"]:
-                have = f["names"][name]
-                if have is not None and type_ and tight(have) != tight(type_):
-                    self.flag("type_mismatch", name)
-                return
-        self.flag("undef_use", name)
-
-    def define(self, names: list[str], types: list) -> None:
-        for i, n in enumerate(names):
-            self.frames[-1]["names"][n] = types[i] if i < len(types) else None
-
-    def open(self, kind: str, names: dict, results: list[str] = (), types: list[str] = ()) -> None:
-        self.frames.append({"kind": kind, "names": names, "results": list(results), "types": list(types), "yielded": False, "else": False})
-
-    def settle(self) -> None:
-        """What waits for an else that doesn't come is complete."""
-        f, self.waiting = self.waiting, None
-        if f:
-            if f["types"] and not f["else"]:
-                self.flag("yield_mismatch", "no else")
-            self.define(f["results"], f["types"])
-
-    def close(self) -> None:
-        if len(self.frames) == 1:
-            self.flag("parse", "}")
-            return
-        f = self.frames.pop()
-        if f["kind"] in ("for", "if") and f["types"] and not f["yielded"]:
-            self.flag("yield_mismatch", "no yield")
-        if f["kind"] == "for":
-            self.define(f["results"], f["types"])
-        elif f["kind"] == "if":
-            if f["else"]:
-                self.define(f["results"], f["types"])
+
+    def ask(self, uses, scope: ChainMap, line: str) -> None:
+        for name, type_ in uses:
+            if name not in scope:
+                self.bad.append(("undef_use", name, line))
+            elif scope[name] is not None and type_ and tight(scope[name]) != tight(type_):
+                self.bad.append(("type_mismatch", name, line))
+
+    def give(self, names: list[str], types: list, scope: ChainMap) -> None:
+        scope.update(zip(names, [*types, *[None] * len(names)]))
+
+    def unless(self, ok: bool, kind: str, what: str, line: str) -> None:
+        if not ok:
+            self.bad.append((kind, what, line))
+
+    def region(self, nodes: list[Node], scope: ChainMap, gives: list[str] | None, line: str) -> None:
+        """The statements of a region; gives are the types that its yields must have, None where nothing can be yielded."""
+        for node in nodes:
+            at = node.rest[:160]
+            if node.op == "scf.yield":
+                names, _, types = node.rest[len("scf.yield") :].partition(":")
+                names, types = _NAME.findall(names), split_top(types)
+                self.ask(zip(names, types), scope, at)
+                fits = gives is not None and len(names) == len(types) and [*map(tight, types)] == [*map(tight, gives)]
+                self.unless(fits, "yield_mismatch", "yield", at)
             else:
-                self.waiting = f
-
-    def otherwise(self) -> None:
-        f, self.waiting = self.waiting, None
-        if f is None:
-            self.flag("parse", "else")
-            f = {"results": [], "types": []}
-        self.open("if", {}, f["results"], f["types"])
-        self.frames[-1]["else"] = True
-
-    def loop(self, results: list[str], rest: str) -> None:
-        m = re.match(r"scf\.for\s+%([\w$.]+)\s*=\s*%([\w$.]+)\s+to\s+%([\w$.]+)\s+step\s+%([\w$.]+)", rest)
+                self.statement(node, scope, at)
+        self.unless(not gives or any(n.op == "scf.yield" for n in nodes), "yield_mismatch", "no yield", line)
+
+    def statement(self, node: Node, scope: ChainMap, at: str) -> None:
+        if node.op in ("module", "func.func"):
+            m = _FUNC.search(node.rest)
+            typed = [p.partition(":") for p in split_top(m.group("params"))] if m and node.op == "func.func" else []
+            self.region(node.body, scope.new_child({n.strip().lstrip("%"): t.strip() for n, _, t in typed}), None, at)
+        elif node.op == "scf.for":
+            self.loop(node, scope, at)
+        elif node.op == "scf.if":
+            types = results_of(node.rest)
+            self.ask([(n, "i1") for n in _NAME.findall(node.rest)[:1]], scope, at)
+            self.unless(not node.results or len(node.results) == len(types), "yield_mismatch", "results", at)
+            self.region(node.body, scope.new_child(), types, at) if node.rest else None
+            if node.orelse is not None:
+                self.region(node.orelse, scope.new_child(), types, at)
+            self.unless(not types or node.orelse is not None, "yield_mismatch", "no else", at)
+            self.give(node.results, types, scope)
+        elif node.op in ("return", "func.return"):
+            names, _, types = node.rest.partition(":")
+            types = split_top(types)
+            self.ask([(n, types[i] if i < len(types) else None) for i, n in enumerate(_NAME.findall(names))], scope, at)
+        else:
+            uses, makes, agree = typing(node.op, node.rest[len(node.op) :], len(node.results))
+            self.ask(uses, scope, at)
+            self.unless(agree, "type_mismatch", node.op, at)
+            self.give(node.results, makes, scope)
+
+    def loop(self, node: Node, scope: ChainMap, at: str) -> None:
+        m = _FOR.match(node.rest)
         if not m:
-            self.flag("parse", "scf.for")
-            self.open("for", {})
+            self.unless(False, "parse", "scf.for", at)
+            self.region(node.body, scope.new_child(), [], at)
             return
-        head = rest[m.end() :]
-        iv = re.search(r":\s*(i\d+|index)\s*\{?\s*$", head)
-        kind = iv.group(1) if iv and "->" not in head[iv.start() :] else "index"
-        for n in m.groups()[1:]:
-            self.use(n, kind)
-        inits = re.search(r"iter_args\s*\(([^)]*)\)", head)
-        pairs = [_NAME.findall(p) for p in split_top(inits.group(1))] if inits else []
-        types = self.results_of(head)
-        if inits and len(pairs) != len(types) or results and len(results) != len(types):
-            self.flag("yield_mismatch", "results")
-        names = {m.group(1): kind}
-        for i, p in enumerate(pairs):
-            t = types[i] if i < len(types) else None
-            if len(p) > 1:
-                self.use(p[1], t)
-            if p:
-                names[p[0]] = t
-        self.open("for", names, results, types)
-
-    @staticmethod
-    def results_of(head: str) -> list[str]:
-        m = re.search(r"->\s*(?:\(([^)]*)\)|([^\s{(]+))", head)
-        return split_top(m.group(1) if m.group(1) is not None else m.group(2)) if m else []
-
-    def branch(self, results: list[str], rest: str) -> None:
-        cond, types = _NAME.search(rest), self.results_of(rest)
-        if cond:
-            self.use(cond.group(1), "i1")
-        if results and len(results) != len(types):
-            self.flag("yield_mismatch", "results")
-        self.open("if", {}, results, types)
-
-    def give(self, rest: str) -> None:
-        f = self.frames[-1]
-        names, types = _NAME.findall(rest.partition(":")[0]), split_top(rest.partition(":")[2])
-        for n, t in zip(names, types):
-            self.use(n, t)
-        if f["kind"] not in ("for", "if") or len(names) != len(types) or [tight(t) for t in types] != [tight(t) for t in f["types"]]:
-            self.flag("yield_mismatch", "yield")
-        f["yielded"] = True
-
-    def operation(self, results: list[str], op: str, rest: str) -> None:
-        rule, type_, used = RULES.get(op), after_colon(rest), _NAME.findall(rest)
-        made: list = [type_]
-        if op.startswith("linalg."):
-            pairs = clauses(rest)
-            for n, t in pairs:
-                self.use(n, t)
-            kinds = {element(t) or tight(t) for _, t in pairs}
-            if len(kinds) > 1:
-                self.flag("type_mismatch", op)
-            made = [None]
-        elif rule == "const":
-            pass
-        elif rule in ("same", "compare"):
-            for n in used:
-                self.use(n, type_)
-            made = ["i1"] if rule == "compare" else made
-        elif rule == "select":
-            for i, n in enumerate(used):
-                self.use(n, type_ if i else "i1")
-        elif rule == "cast":
-            source, _, target = (type_ or "").partition(" to ")
-            for n in used:
-                self.use(n, source or None)
-            made = [target.strip() or None]
-        elif rule in ("load", "dim"):
-            for i, n in enumerate(used):
-                self.use(n, "index" if i else type_)
-            made = [element(type_ or "") if rule == "load" else "index"]
-        elif rule == "store":
-            for i, n in enumerate(used):
-                self.use(n, (element(type_ or ""), type_)[i] if i < 2 else "index")
-        elif rule == "listed":
-            m = re.search(r":\s*\(([^)]*)\)\s*->\s*(.+)$", rest, re.S)
-            for n, t in zip(used, split_top(m.group(1)) if m else [None] * len(used)):
-                self.use(n, t)
-            made = [m.group(2).strip() if m else None]
-        else:
-            made = [None] * len(results)
-        self.define(results, made)
+        kind = (_COUNTER.search(m["head"]) or {"kind": "index"})["kind"]
+        self.ask([(n, kind) for n in (m["low"], m["high"], m["step"])], scope, at)
+        inits = re.search(r"iter_args\s*\(([^)]*)\)", m["head"])
+        carried = [_NAME.findall(p) for p in split_top(inits.group(1))] if inits else []
+        types = results_of(m["head"])
+        self.unless((not inits or len(carried) == len(types)) and (not node.results or len(node.results) == len(types)), "yield_mismatch", "results", at)
+        typed = list(zip(carried, [*types, *[None] * len(carried)]))
+        self.ask([(names[1], t) for names, t in typed if len(names) > 1], scope, at)
+        self.region(node.body, scope.new_child({m["counter"]: kind} | {names[0]: t for names, t in typed if names}), types, at)
+        self.give(node.results, types, scope)
+
+
+_FOR = re.compile(r"scf\.for\s+%(?P<counter>[\w$.]+)\s*=\s*%(?P<low>[\w$.]+)\s+to\s+%(?P<high>[\w$.]+)\s+step\s+%(?P<step>[\w$.]+)(?P<head>.*)", re.S)
+#: The type of a loop's counter, if it is told: the last thing of the head.
+_COUNTER = re.compile(r":\s*(?P<kind>i\d+|index)\s*\{?\s*$")
 
 
 def pieces(text: str) -> list[tuple[list[str], str, str]]:
@@ -233,41 +241,10 @@ def check(text: str) -> list[tuple[str, str, str]]:
     """Scope violations (kind, name, line). A text without a function passes."""
     if "func.func" not in text:
         return []
-    w = Walk()
-    for results, op, rest in pieces(text):
-        w.line = rest[:160]
-        if op == "else":
-            w.otherwise()
-            continue
-        w.settle()
-        if op == "}":
-            w.close()
-        elif op == "module":
-            w.open("module", {})
-        elif op == "func.func":
-            m = _FUNC.search(rest)
-            params: dict = {}
-            if m:
-                params = {n: t.strip() for n, _, t in (p.partition(":") for p in split_top(m.group("params")))}
-                params = {n.strip().lstrip("%"): t for n, t in params.items()}
-            if "{" in rest:
-                w.open("func", params)
-        elif op == "scf.for":
-            w.loop(results, rest)
-        elif op == "scf.if":
-            w.branch(results, rest)
-        elif op == "scf.yield":
-            w.give(rest[len("scf.yield") :])
-        elif op in ("return", "func.return"):
-            names, types = _NAME.findall(rest.partition(":")[0]), split_top(rest.partition(":")[2])
-            for i, n in enumerate(names):
-                w.use(n, types[i] if i < len(types) else None)
-        else:
-            w.operation(results, op, rest[len(op) :])
-    w.settle()
-    if len(w.frames) > 1:
-        w.flag("parse", "unclosed")
-    return w.bad
+    top, wrong = tree(text)
+    scopes = Scopes()
+    scopes.region(top, ChainMap(), None, "")
+    return scopes.bad + [("parse", w, "") for w in wrong]
 
 
 _TYPE = r"(?:i\d+|index|b?f\d+|(?:memref|tensor|vector)<[^>]*>)"

@@ -33,8 +33,6 @@ def test_query(spark, name):
     db = duckdb.connect()
     for f in os.listdir(DATA):
         db.execute(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{DATA}/{f}'")
-    if name in ("stratified_split", "synth_grid") and not rows:
-        return
     r = db.execute(registry.oracle_sql()[name])
     names = [d[0] for d in r.description]
     assert sorted(names) == cols
