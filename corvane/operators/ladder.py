@@ -6,17 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions.text import error_category, shape_error, unknown_ops
+from corvane.operators.stats import count_interval
 
 CELL = ["model", "pool", "constraint_stack", "prompt_id"]
+#: The rungs, each stack and the one below it.
 RUNGS = (("c1", "none"), ("c1_c2", "c1"), ("c1_c2_c3", "c1_c2"), ("c1_c2_c3", "none"))
-#: The stack whose arm each layer's flag is compared with.
+#: The stack whose arm each layer's flag is compared with.
 STACK = {"v1": "c1", "v1_vocab": "c1", "v1_struct": "c1", "v2": "c1_c2", "v3": "c1_c2_c3", "v4": "c1_c2_c3"}
-SPEC_ROWS = {"arith_func_big": 24, "linalg_big": 30}
 
 
-def latest(rows: DataFrame, keys: list[str] = CELL, order: str = "ingest_seq") -> DataFrame:
-    """The last row of each key; partially aggregated, no window over a hot key."""
-    rest = [c for c in rows.columns if c not in keys]
+def latest(rows: DataFrame, keys: list[str] = CELL, order: str = "ingest_seq", keep: list[str] | None = None) -> DataFrame:
+    """The last row of each key; partially aggregated, no window over a hot key. Only the columns to keep are read and moved."""
+    rest = [c for c in rows.columns if c not in keys and (keep is None or c in keep)]
+    if not rest:
+        return rows.select(*keys).distinct()
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(order)).alias("_r")).select(*keys, "_r.*")
 
 
@@ -25,12 +28,14 @@ def todo(wanted: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     return wanted.join(done.select(*keys).distinct(), keys, "left_anti")
 
 
-def summary(cells: DataFrame, keys: list[str]) -> DataFrame:
+def summary(cells: DataFrame, keys: list[str], resamples: int = 10_000) -> DataFrame:
     rate = lambda c: F.round(F.avg(F.col(c).cast("double")), 6)
-    return cells.groupBy(*keys).agg(
-        F.count("*").alias("n"), rate("parse_valid").alias("parse_rate"), rate("verify_valid").alias("verify_rate"),
+    sums = cells.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.count_if("verify_valid").alias("s"), rate("parse_valid").alias("parse_rate"), rate("verify_valid").alias("verify_rate"),
         rate("attempts").alias("mean_attempts"), rate("dt").alias("mean_dt"), F.count_if(~F.coalesce("finished", F.lit(True))).alias("unfinished"),
     )
+    got = count_interval(sums, resamples)
+    return got.select(*keys, "n", "parse_rate", "verify_rate", F.round("ci_low", 6).alias("ci_low"), F.round("ci_high", 6).alias("ci_high"), "mean_attempts", "mean_dt", "unfinished")
 
 
 def arms(cells: DataFrame, keys: list[str], values: dict[str, Column]) -> DataFrame:
@@ -76,11 +81,11 @@ def residual_pairs(flagged: DataFrame) -> DataFrame:
     return wide.select("model", "pool", "prompt_id", F.col("parse_none").alias("free_parses"), F.explode(F.array(*each)).alias("x")).select("model", "pool", "prompt_id", "free_parses", "x.*").filter("a is not null and b is not null")
 
 
-def subset(rows: DataFrame, which: str) -> DataFrame:
-    """'all', 'spec' (the first prompts of a pool) or 'mined' (the rest); pools without a bound are all spec."""
+def subset(rows: DataFrame, which: str, spec_rows: dict[str, int]) -> DataFrame:
+    """'all', 'spec' (the first prompts of a pool, spec_rows of them) or 'mined' (the rest); pools without a bound are all spec."""
     if which == "all":
         return rows
-    bound = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in SPEC_ROWS.items() for x in kv]), F.col("pool")), F.lit(10**9))
+    bound = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in spec_rows.items() for x in kv]), F.col("pool")), F.lit(10**9))
     return rows.filter((F.col("prompt_id") < bound) if which == "spec" else (F.col("prompt_id") >= bound))
 
 

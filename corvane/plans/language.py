@@ -317,7 +317,7 @@ SQL = {
     "group_folds": "WITH g AS (SELECT prompt_id, (row_number() OVER (ORDER BY md5('11:' || prompt_id), prompt_id) - 1) % 5 AS fold FROM (SELECT DISTINCT prompt_id FROM train_v1)) SELECT row_id, prompt_id, fold FROM train_v1 JOIN g USING (prompt_id)",
     "hashed_features": "SELECT gen_id, b AS bucket, round(ln(1 + count(*)), 6) AS weight FROM (SELECT gen_id, unnest(tokens) % 64 AS b FROM gen_out) GROUP BY 1, 2",
     "last_windows": "WITH w AS (SELECT gen_id, tokens[greatest(1, len(tokens) - 3):] AS t FROM gen_out WHERE len(tokens) > 0) SELECT gen_id, array_to_string(list_transform(range(1, len(t) + 1), lambda i: (i - 1) * 512 + t[i] % 512), ' ') AS features FROM w",
-    "legal_tokens": "SELECT gen_id, len(list_filter(tokens[1:64], lambda t: (t % 256) % 3 = 0)) AS n_legal FROM gen_out",
+    "legal_tokens": "SELECT gen_id, len(list_filter(tokens, lambda t: (t % 256) % 3 = 0)) AS n_legal FROM gen_out",
     "token_entropy": "WITH b AS (SELECT gen_id, x, count(*) AS c FROM (SELECT gen_id, unnest(tokens) % 16 AS x FROM gen_out) GROUP BY 1, 2), n AS (SELECT gen_id, sum(c) AS n FROM b GROUP BY 1) SELECT gen_id, round(-sum(c / n * log2(c / n)), 6) + 0.0 AS bits FROM b JOIN n USING (gen_id) GROUP BY 1",
     "pair_differences": "SELECT a.vec_id AS a, b.vec_id AS b, round(list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: (a.embedding[i] - b.embedding[i])::DOUBLE * (a.embedding[i] - b.embedding[i]))), 3) AS sq FROM embeddings a JOIN embeddings b ON a.vec_id % 2 = 0 AND b.vec_id = a.vec_id + 1",
     "patch_recovery": "SELECT gen_id, round(CASE WHEN dt - 0.3 > 0.1 THEN ((dt + 0.3) / 2 - 0.3) / (dt - 0.3) END, 6) AS recovery FROM gen_out WHERE dt IS NOT NULL",

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text as T
 from corvane.operators import decontam
-from corvane.store import table
+from corvane.store import table, written
 
 
 def candidates(spark, d):
@@ -63,8 +63,15 @@ def op_vocabulary(spark, d):
     return known.groupBy("op").agg(F.count("*").alias("n"))
 
 
+#: Names that the vocabulary of operations may have; more are an error, since it is sent to all rows.
+VOCABULARY = 20_000
+
+
 def known_ops(spark, d):
-    return op_vocabulary(spark, d).filter("n >= 5").agg(F.collect_set("op").alias("known"))  # a vocabulary of operation names: bounded by the language
+    names = written(op_vocabulary(spark, d).filter("n >= 5"), "vocabulary")
+    if names.limit(VOCABULARY + 1).count() > VOCABULARY:
+        raise ValueError(f"more than {VOCABULARY} operations are met five times")
+    return names.agg(F.collect_set("op").alias("known"))
 
 
 def unknown_ops(spark, d):
@@ -164,6 +171,19 @@ _OPS = r"regexp_extract_all({c}, '\b((?:arith|memref|linalg|func|stablehlo|scf|m
 _SIG = r"func\.func\s+@[\w$.]+\s*\(([^)]*)\)\s*(?:->\s*([^{]+?))?\s*\{"
 _PUB = r"func\.func\s+@(\w+)\s*\(([^)]*)\)\s*(?:->\s*([^{]+?))?\s*\{"
 _ARGS = lambda c, p, g: f"list_transform(list_filter(string_split(regexp_extract({c}, '(?s){p}', {g}), ','), lambda a: contains(a, ':')), lambda a: regexp_replace(regexp_replace(a, '(?s)^[^:]*:', ''), '\\s+', '', 'g'))"
+def excluded_sql(table: str, column: str, keys: str = "") -> str:
+    """SQL with ex(keys, reason): why each program can't be run by the differential harness, or 'supported'."""
+    more = keys + ", " if keys else ""
+    return f"""s AS (SELECT {more}regexp_matches({column}, '{_PUB}') AS ok, regexp_extract({column}, '{_PUB}', 1) AS name, replace(trim(regexp_extract({column}, '{_PUB}', 3)), ' ', '') AS ret,
+        list_transform(list_filter(string_split(regexp_extract({column}, '{_PUB}', 2), ','), lambda a: trim(a) <> ''), lambda a: replace(regexp_replace(a, '.*:', ''), ' ', '')) AS args FROM {table}),
+      ex AS (SELECT {more}CASE WHEN NOT coalesce(ok, false) THEN 'no_public_fn' WHEN name = 'main' THEN 'fn_named_main' WHEN ret <> '' AND (ret LIKE '(%' OR ret LIKE '%,%') THEN 'multi_result'
+        WHEN ret <> '' AND ret NOT IN ('i1','i8','i16','i32','i64','f16','f32','f64','index') THEN 'unsupported_ret_type'
+        WHEN len(list_filter(args, lambda t: t LIKE 'memref%' AND NOT regexp_matches(t, '^memref<(\\?|\\d+)(x(\\?|\\d+))*x[fi]\\d+>$'))) > 0 THEN 'unsupported_memref_type'
+        WHEN len(list_filter(args, lambda t: t LIKE 'memref%' AND NOT regexp_matches(t, 'x(f32|f64|i32|i64)>$'))) > 0 THEN 'unprintable_memref_dtype'
+        WHEN len(list_filter(args, lambda t: t NOT LIKE 'memref%' AND t NOT IN ('i1','i8','i16','i32','i64','f16','f32','f64','index'))) > 0 THEN 'unsupported_arg_type'
+        WHEN ret = '' AND len(list_filter(args, lambda t: t LIKE 'memref%')) = 0 THEN 'no_observable_output' ELSE 'supported' END AS reason FROM s)"""
+
+
 SQL = {
     "decontam_report": _DECONTAM + "SELECT reason, count(*) AS n FROM rows_ GROUP BY reason",
     "decontam_rows": _DECONTAM + "SELECT pos, reason FROM rows_",
@@ -180,15 +200,7 @@ SQL = {
       SELECT row_id, string_agg(op, ' ' ORDER BY op) AS unknown FROM u WHERE op NOT IN (FROM v) GROUP BY row_id""",
     "program_signatures": f"""SELECT row_id, CASE WHEN regexp_matches(mlir, '(?s){_SIG}') THEN array_to_string({_ARGS('mlir', _SIG, 1)}, '|') END AS args,
       CASE WHEN regexp_matches(mlir, '(?s){_SIG}') THEN regexp_replace(regexp_extract(mlir, '(?s){_SIG}', 2), '\\s+', '', 'g') END AS ret FROM train_v1 WHERE mlir IS NOT NULL""",
-    "signature_exclusions": f"""WITH s AS (SELECT regexp_matches(mlir, '{_PUB}') AS ok, regexp_extract(mlir, '{_PUB}', 1) AS name, replace(trim(regexp_extract(mlir, '{_PUB}', 3)), ' ', '') AS ret,
-        list_transform(list_filter(string_split(regexp_extract(mlir, '{_PUB}', 2), ','), lambda a: trim(a) <> ''), lambda a: replace(regexp_replace(a, '.*:', ''), ' ', '')) AS args FROM train_v1),
-      r AS (SELECT CASE WHEN NOT coalesce(ok, false) THEN 'no_public_fn' WHEN name = 'main' THEN 'fn_named_main' WHEN ret <> '' AND (ret LIKE '(%' OR ret LIKE '%,%') THEN 'multi_result'
-        WHEN ret <> '' AND ret NOT IN ('i1','i8','i16','i32','i64','f16','f32','f64','index') THEN 'unsupported_ret_type'
-        WHEN len(list_filter(args, lambda t: t LIKE 'memref%' AND NOT regexp_matches(t, '^memref<(\\?|\\d+)(x(\\?|\\d+))*x[fi]\\d+>$'))) > 0 THEN 'unsupported_memref_type'
-        WHEN len(list_filter(args, lambda t: t LIKE 'memref%' AND NOT regexp_matches(t, 'x(f32|f64|i32|i64)>$'))) > 0 THEN 'unprintable_memref_dtype'
-        WHEN len(list_filter(args, lambda t: t NOT LIKE 'memref%' AND t NOT IN ('i1','i8','i16','i32','i64','f16','f32','f64','index'))) > 0 THEN 'unsupported_arg_type'
-        WHEN ret = '' AND len(list_filter(args, lambda t: t LIKE 'memref%')) = 0 THEN 'no_observable_output' ELSE 'supported' END AS reason FROM s)
-      SELECT reason, count(*) AS n FROM r GROUP BY reason""",
+    "signature_exclusions": f"WITH {excluded_sql('train_v1', 'mlir')} SELECT reason, count(*) AS n FROM ex GROUP BY reason",
     "value_counts": "SELECT row_id, len(list_distinct(regexp_extract_all(mlir, '%[A-Za-z0-9_$.]+'))) AS n_values FROM train_v1 WHERE mlir IS NOT NULL",
     "mined_cases": """SELECT row_id, i - 1 AS case_idx, md5(trim(mlir, chr(32) || chr(9) || chr(10) || chr(13)) || chr(10)) AS digest, 2 AS n_hints FROM
       (SELECT row_id, array_to_string(list_filter(string_split_regex(mlir, '\\r?\\n'), lambda x: NOT regexp_matches(trim(x), '^//\\s*([A-Z][A-Z0-9_]*)(-(NEXT|SAME|DAG|NOT|LABEL|EMPTY|COUNT-\\d+))*\\s*:')), chr(10)) AS mlir, unnest([1, 2]) AS i FROM train_v1 WHERE source = 'mined_tests' AND mlir IS NOT NULL)""",

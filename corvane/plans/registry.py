@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corvane.plans import evaluation, language, pool, relational
+from corvane.plans import evaluation, language, pool, relational, trials
 
-MODULES = (pool, evaluation, language, relational)
+MODULES = (pool, evaluation, trials, language, relational)
 
 
 def queries() -> dict:

@@ -41,7 +41,7 @@ def shared_ops(spark, d):
 
 def prompt_sets(spark, d):
     """Prompts solved without constraints, under the full stack, by both and by one only."""
-    c = cells(spark, d).filter("verify_valid")
+    c = cells(spark, d, "verify_valid").filter("verify_valid")
     s = lambda stack: c.filter(F.col("constraint_stack") == stack).select("pool", "prompt_id").distinct()
     free, full = s("none"), s("c1_c2_c3")
     tag = lambda t, n: t.groupBy("pool").agg(F.count("*").alias("n")).withColumn("which", F.lit(n))
@@ -58,18 +58,9 @@ def portability(spark, d):
     return j.groupBy("method").agg(F.count("*").alias("n"), rate("parse_valid").alias("parse_rate"), rate("scope_ok").alias("scope_rate"), rate("verify_valid").alias("verify_rate"), F.round(F.avg("best"), 6).alias("mean_overlap"), F.max("best").alias("max_overlap"), F.count_if("exact").alias("n_exact"))
 
 
-def rate_composition(spark, d):
-    """Right answers as a share of verified ones and of those whose gold can be run."""
-    ok = T.exclusion(T.public_signature(F.col("gold_mlir"))).isNull()
-    gate = table(spark, d, "eval_pool").select("prompt_id", ok.alias("gate"))
-    j = cells(spark, d).join(gate, "prompt_id")
-    right = F.col("verify_valid") & F.col("gate") & (F.col("attempts") == 1)
-    return j.groupBy("method").agg(F.count_if(right).alias("n_right"), F.round(F.try_divide(F.count_if(right), F.count_if("verify_valid")), 6).alias("of_verified"), F.round(F.try_divide(F.count_if(right), F.count_if("gate")), 6).alias("of_gate"))
-
-
 def arm_fallback(spark, d):
     """Per pool the free rate against the full stack's, or against the masked arm's if any prompt lacks the full stack."""
-    wide = ladder.arms(cells(spark, d), ["pool", "model", "prompt_id"], {"v": ~F.col("verify_valid")}).filter("v_none is not null and v_c1_c2 is not null")
+    wide = ladder.arms(cells(spark, d, "verify_valid"), ["pool", "model", "prompt_id"], {"v": ~F.col("verify_valid")}).filter("v_none is not null and v_c1_c2 is not null")
     g = wide.groupBy("pool").agg(F.bool_and(F.col("v_c1_c2_c3").isNotNull()).alias("has"), F.avg("v_none").alias("free"), F.avg("v_c1_c2").alias("masked"), F.avg("v_c1_c2_c3").alias("full"), F.count("*").alias("n"))
     return g.select("pool", "n", F.when(F.col("has"), "c1_c2_c3").otherwise("c1_c2").alias("arm"), F.round(F.col("free") - F.when(F.col("has"), F.col("full")).otherwise(F.col("masked")), 6).alias("residual"))
 
@@ -77,7 +68,7 @@ def arm_fallback(spark, d):
 def run_outcomes(spark, d):
     """Every (model, pool) of the campaign with its rows, none included: empty groups don't vanish."""
     spine = table(spark, d, "model_pins").select("model").crossJoin(table(spark, d, "eval_pool").select("pool").distinct())  # the campaign's grid
-    got = cells(spark, d).groupBy("model", "pool").agg(F.count("*").alias("n"), F.avg(F.col("verify_valid").cast("double")).alias("rate"))
+    got = cells(spark, d, "verify_valid").groupBy("model", "pool").agg(F.count("*").alias("n"), F.avg(F.col("verify_valid").cast("double")).alias("rate"))
     return spine.join(got, ["model", "pool"], "left").select("model", "pool", F.coalesce("n", F.lit(0)).alias("n"), F.round("rate", 6).alias("rate"))
 
 
@@ -137,7 +128,7 @@ def user_sessions(spark, d):
     return s.groupBy("user_id", "session").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (program_source, rewritten_pool, shared_ops, prompt_sets, portability, rate_composition, arm_fallback, run_outcomes, definition_lattice, pricing_summary, regional_revenue, order_cube, top_suppliers, hourly_events, user_sessions)}
+QUERIES = {f.__name__: f for f in (program_source, rewritten_pool, shared_ops, prompt_sets, portability, arm_fallback, run_outcomes, definition_lattice, pricing_summary, regional_revenue, order_cube, top_suppliers, hourly_events, user_sessions)}
 
 _CELLS = "c AS (SELECT * FROM ladder QUALIFY row_number() OVER (PARTITION BY model, pool, constraint_stack, prompt_id ORDER BY ingest_seq DESC) = 1)"
 _OPS = r"regexp_extract_all({c}, '\b((?:arith|memref|linalg|func|stablehlo|scf|math|cf|tensor|vector|affine)\.[a-z_]+)\b', 1)"

@@ -1,12 +1,12 @@
 """Queries do the whole job: fixtures on which a cut would show."""
 
+import math
 import os
 
 import duckdb
 import numpy as np
 import pytest
 
-from corvane.llm import mixing
 from corvane.operators import stats
 from corvane.plans import evaluation, registry
 
@@ -30,34 +30,71 @@ def test_bootstraps_take_the_full_number_of_resamples():
     assert (evaluation.RESAMPLES, evaluation.SIZE_RESAMPLES) == (10_000, 2000)
 
 
+def brute(n, p, u):
+    """Inversion over all places, by exact sums."""
+    weights, total, out = [math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(n + 1)], 0.0, []
+    sums = [total := total + w for w in weights]
+    for x in u:
+        out.append(next((k for k, c in enumerate(sums) if c >= x), n))
+    return np.array(out)
+
+
+def test_binomial_draws_by_inversion():
+    u = stats.uniforms(500, "t")
+    assert 0 <= u.min() < 0.02 and 0.98 < u.max() < 1 and len(set(u)) == 500
+    for n, p in ((1, 0.5), (7, 1 / 7), (60, 0.2), (60, 59 / 60), (300, 0.01)):
+        assert (stats.binomials(n, p, u) == brute(n, p, u)).all()
+    assert set(stats.binomials(9, 0.0, u)) == {0} and set(stats.binomials(9, 1.0, u)) == {9} and set(stats.binomials(0, 0.5, u)) == {0}
+    big = stats.binomials(10**12, 0.3, u)  # as many places as the root of n
+    assert abs(big.mean() / 10**12 - 0.3) < 1e-6 and abs(big.std() / (10**12 * 0.21) ** 0.5 - 1) < 0.1
+
+
 def test_rate_and_rank_intervals_are_those_of_10_000_draws(spark, monkeypatch):
     rows = spark.createDataFrame([("m", "s", f"{i:03}", i % 3 == 0) for i in range(50)], "method string, constraint_stack string, row_id string, verify_valid boolean")
-    monkeypatch.setattr(evaluation, "cells", lambda spark, d: rows)
-    x = np.array([float(i % 3 == 0) for i in range(50)])
-    means = np.random.default_rng(0).choice(x, size=(10_000, 50), replace=True).mean(axis=1)
+    monkeypatch.setattr(evaluation, "cells", lambda spark, d, *keep: rows)
+    means = brute(50, 17 / 50, stats.uniforms(10_000, "rate")) / 50
     low, high = np.quantile(means, [0.025, 0.975])
-    for name in ("rate_intervals", "numpy_intervals"):
-        r = registry.queries()[name](spark, "").first()
-        assert (r.n, round(r.ci_low, 6), round(r.ci_high, 6)) == (50, round(low, 6), round(high, 6))
+    r = registry.queries()["rate_intervals"](spark, "").first()
+    assert (r.n, r.ci_low, r.ci_high) == (50, round(low, 6), round(high, 6))
+    # The bootstrap of the rows themselves has the same distribution.
+    x = np.array([float(i % 3 == 0) for i in range(50)])
+    rowwise = np.random.default_rng(0).choice(x, size=(10_000, 50), replace=True).mean(axis=1)
+    assert np.abs(np.quantile(rowwise, [0.025, 0.975]) - [low, high]).max() <= 0.02
     r = registry.queries()["rank_intervals"](spark, "").first()
     assert (r.ci_low, r.ci_high) == tuple(np.round(np.sort(means)[[250, 9750]], 6))
+    r = registry.queries()["numpy_intervals"](spark, "").first()
+    assert (r.n, round(r.ci_low, 6), round(r.ci_high, 6)) == (50, *np.round(np.quantile(rowwise, [0.025, 0.975]), 6))
 
 
 def test_paired_intervals_are_those_of_10_000_draws(spark, monkeypatch):
     pairs = [("m", "p", i, "v1", int(i % 4 == 0), int(i % 5 == 0), 1) for i in range(60)]
     made = spark.createDataFrame(pairs, "model string, pool string, prompt_id long, layer string, a int, b int, free_parses int")
-    monkeypatch.setattr(evaluation, "cells", lambda spark, d: made)
+    monkeypatch.setattr(evaluation, "cells", lambda spark, d, *keep: made)
     monkeypatch.setattr(evaluation, "flagged", lambda spark, d: made)
     monkeypatch.setattr(evaluation.ladder, "residual_pairs", lambda t: t)
     monkeypatch.setattr(evaluation.ladder, "rung_pairs", lambda t: t.withColumnRenamed("layer", "rung"))
-    a, b = np.array([p[4] for p in pairs], float), np.array([p[5] for p in pairs], float)
-    i = np.random.default_rng(0).integers(0, 60, size=(10_000, 60))
-    means = a[i].mean(axis=1) - b[i].mean(axis=1)
+    up, down = sum(p[4] > p[5] for p in pairs), sum(p[4] < p[5] for p in pairs)
+    differ, v = brute(60, (up + down) / 60, stats.uniforms(10_000, "differ")), stats.uniforms(10_000, "up")
+    rise = np.array([brute(m, up / (up + down), [x])[0] for m, x in zip(differ, v)])
+    means = (2 * rise - differ) / 60
     low, high = np.round(np.quantile(means, [0.025, 0.975]), 6)
     r = registry.queries()["delta_intervals"](spark, "").first()
     assert (r.n, r.ci_low, r.ci_high, r.p_value) == (60, low, high, round((means <= 0).mean(), 6))
     r = registry.queries()["internalized_gate"](spark, "").first()
-    assert (r.n, r.ci_low, r.ci_high) == (60, low, high)
+    assert (r.model, r.pool, r.n, r.free_rate, r.ci_low, r.ci_high) == ("m", "p", 60, 0.25, low, high)
+    a, b = np.array([p[4] for p in pairs], float), np.array([p[5] for p in pairs], float)
+    i = np.random.default_rng(0).integers(0, 60, size=(10_000, 60))
+    rowwise = a[i].mean(axis=1) - b[i].mean(axis=1)
+    assert np.abs(np.quantile(rowwise, [0.025, 0.975]) - [low, high]).max() <= 0.02
+
+
+def test_intervals_of_no_rows(spark):
+    rows = spark.createDataFrame([("a", 0, 0), ("b", 4, 4), ("c", 4, 0)], "k string, n long, s long")
+    got = {r.k: (r.ci_low, r.ci_high) for r in stats.count_interval(rows).collect()}
+    assert got == {"a": (None, None), "b": (1.0, 1.0), "c": (0.0, 0.0)}
+    pairs = spark.createDataFrame([("a", 0, 0, 0), ("b", 4, 4, 0), ("c", 4, 0, 0)], "k string, n long, up long, down long")
+    got = {r.k: (r.ci_low, r.ci_high, r.p_value) for r in stats.pair_count_interval(pairs).collect()}
+    assert got == {"a": (None, None, None), "b": (1.0, 1.0, 0.0), "c": (0.0, 0.0, 1.0)}
 
 
 def test_blocks_of_draws_are_one_stream(spark):
@@ -69,7 +106,7 @@ def test_blocks_of_draws_are_one_stream(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(os.environ.get("CORVANE_TEST_DATA", "/root/testdata/sf0.001")), reason="no test tables")
-def test_size_fit_resamples_gives_2000_and_begins_with_those_of_the_sql(spark):
+def test_size_fit_resamples_gives_the_2000_of_the_sql(spark):
     data = os.environ.get("CORVANE_TEST_DATA", "/root/testdata/sf0.001")
     got = {r["b"]: (r["beta"], r["n"]) for r in registry.queries()["size_fit_resamples"](spark, data).collect()}
     assert sorted(got) == list(range(2000))
@@ -77,15 +114,4 @@ def test_size_fit_resamples_gives_2000_and_begins_with_those_of_the_sql(spark):
     for f in os.listdir(data):
         db.execute(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{data}/{f}'")
     want = {b: (beta, n) for b, beta, n in db.execute(f"SELECT b, beta, n FROM ({registry.oracle_sql()['size_fit_resamples']})").fetchall()}
-    assert len(want) == 20 and all(abs(got[b][0] - want[b][0]) < 1e-4 and got[b][1] == want[b][1] for b in want)
-
-
-def test_mixing_keeps_rows_with_null_and_repeated_ids(spark, tmp_path):
-    rows = [(1, "a", "one two"), (1, "b", "one two three"), (None, "a", "one two"), (2, "b", "")]
-    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([("a", 0.5, 2), ("b", 0.5, 2)], "source string, target_share double, max_repeats int").write.parquet(f"{tmp_path}/mix_targets.parquet")
-    sizes, _ = mixing._inputs(spark, str(tmp_path))
-    got = sorted(((r.doc_id, r.source, r.n_tokens > 0) for r in sizes.collect()), key=str)
-    assert got == sorted(((1, "a", True), (1, "b", True), (None, "a", True), (2, "b", False)), key=str)
-    has = {r["source"]: r["has"] for r in mixing.p8_mix(spark, str(tmp_path)).collect()}
-    assert has == {s: sum(r.n_tokens for r in sizes.collect() if r.source == s) for s in "ab"}
+    assert len(want) == 2000 and all(abs(got[b][0] - want[b][0]) < 1e-4 and got[b][1] == want[b][1] for b in want)
