@@ -12,7 +12,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(a, b) -> (id, component) of every node with an edge; component is the least id reachable.
 
     Alternates large-star and small-star steps, each one shuffle with partial aggregation, until nothing changes; the rounds
-    grow as the logarithm of the longest path. The edges stay in written tables; only counts reach the driver."""
+    grow as the logarithm of the longest path; more than max_rounds are an error. The edges stay in written tables; only counts reach the driver."""
     now = written(edges.filter("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "edges")
     before = None
     for _ in range(max_rounds):
@@ -27,4 +27,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if state == before:
             break
         before = state
+    else:
+        raise RuntimeError(f"components haven't settled in {max_rounds} rounds")
     return now.select(F.col("v").alias("id"), F.col("u").alias("component")).unionByName(now.select(F.col("u").alias("id"), F.col("u").alias("component"))).groupBy("id").agg(F.min("component").alias("component"))

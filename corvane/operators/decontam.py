@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import hashlib
+import re
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.functions.text import norm_mlir, norm_nl, token_grams, word_grams
+from corvane.functions.text import norm_mlir, norm_nl, word_grams
+from corvane.store import bounded, written
 
 
 def first_wins(rows: DataFrame, key: Column, order: str) -> DataFrame:
@@ -19,34 +25,102 @@ def decontaminated(candidates: DataFrame, protected: DataFrame, n: int = 8) -> D
     """candidates (pos, nl, mlir), protected (nl, mlir) -> (pos, reason): the first rule that drops a candidate, or 'kept'.
 
     Only survivors of the three rules against protected records can occupy a prompt in the pool. Null texts count as empty;
-    empty protected texts protect nothing. pos is the input order and is unique."""
-    c = candidates.select("pos", norm_nl(F.coalesce("nl", F.lit(""))).alias("nl"), norm_mlir(F.coalesce("mlir", F.lit(""))).alias("mlir"))
+    empty protected texts protect nothing. pos is the input order and is unique.
+
+    Protected texts and their n-grams are sent to the candidates where they are few (store.bounded). The candidates' texts are normalised
+    once, into a narrow table of digests and verdicts, from which the rest is told."""
     p = protected.select(F.coalesce("nl", F.lit("")).alias("nl"), F.coalesce("mlir", F.lit("")).alias("mlir"))
-    p_nl = p.filter("nl <> ''").select(norm_nl(F.col("nl")).alias("nl")).distinct()
-    p_mlir = p.filter("mlir <> ''").select(norm_mlir(F.col("mlir")).alias("mlir")).distinct()
-    gram = lambda d: d.select(*[x for x in d.columns if x == "pos"], F.explode(word_grams(F.col("nl"), n)).alias("g"))
-    yes = F.lit(True)
-    hit = gram(c).join(gram(p_nl).distinct(), "g", "left_semi").select("pos").distinct().withColumn("by_gram", yes)
-    flagged = c.join(p_nl.withColumn("by_nl", yes), "nl", "left").join(p_mlir.withColumn("by_mlir", yes), "mlir", "left").join(hit, "pos", "left")
+    p_nl = written(p.filter("nl <> ''").select(norm_nl(F.col("nl")).alias("nl")).distinct(), "protected-nl")
+    p_mlir = written(p.filter("mlir <> ''").select(F.md5(norm_mlir(F.col("mlir"))).alias("mlir_d")).distinct().withColumn("by_mlir", F.lit(True)), "protected-mlir")
+    p_gram = written(p_nl.select(F.explode(word_grams(F.col("nl"), n)).alias("g")).distinct(), "protected-grams")
+    c = candidates.select("pos", norm_nl(F.coalesce("nl", F.lit(""))).alias("nl"), F.md5(norm_mlir(F.coalesce("mlir", F.lit("")))).alias("mlir_d"))
+    c = c.select("pos", "mlir_d", F.md5("nl").alias("nl_d"), word_grams(F.col("nl"), n).alias("gs"))
+    told = c.join(bounded(p_nl.select(F.md5("nl").alias("nl_d"), F.lit(True).alias("by_nl"))), "nl_d", "left").join(bounded(p_mlir), "mlir_d", "left")
+    told = written(told.select("pos", "nl_d", "by_nl", "by_mlir", F.when(F.col("by_nl").isNull() & F.col("by_mlir").isNull(), F.col("gs")).alias("gs")), "told")
+    hit = told.select("pos", F.explode("gs").alias("g")).join(bounded(p_gram), "g", "left_semi").select("pos", F.lit(True).alias("by_gram")).distinct()
     reason = F.when(F.col("by_nl"), "exact_nl_vs_protected").when(F.col("by_mlir"), "exact_mlir_vs_protected").when(F.col("by_gram"), f"nl_{n}gram_overlap_vs_protected")
-    ruled = flagged.select("pos", "nl", reason.alias("reason"))
-    first = ruled.filter("reason is null").groupBy("nl").agg(F.min("pos").alias("first_pos"))
-    return ruled.join(first, "nl", "left").select("pos", F.coalesce("reason", F.when(F.col("pos") == F.col("first_pos"), "kept").otherwise("dup_nl_within_pool")).alias("reason"))
+    ruled = written(told.drop("gs").join(bounded(written(hit, "gram-hits")), "pos", "left").select("pos", "nl_d", reason.alias("reason")), "ruled")
+    first = ruled.filter("reason is null").groupBy("nl_d").agg(F.min("pos").alias("first_pos"))
+    free = ruled.filter("reason is null").join(first, "nl_d").select("pos", F.when(F.col("pos") == F.col("first_pos"), "kept").otherwise("dup_nl_within_pool").alias("reason"))
+    return ruled.filter("reason is not null").select("pos", "reason").unionByName(free)
 
 
 def report(ruled: DataFrame) -> DataFrame:
     return ruled.groupBy("reason").agg(F.count("*").alias("n"))
 
 
+def gram_sets(rows: DataFrame, n: int) -> DataFrame:
+    """(id, text) -> (id, grams): the distinct 64-bit hashes of each text's runs of n tokens, sorted."""
+    token = re.compile(r"\w+|[^\w\s]", re.A)
+
+    def run(batches):
+        known: dict[str, int] = {}
+        for b in batches:
+            sets = []
+            for text in b.column(1).to_pylist():
+                t = token.findall(text)
+                if len(known) > 1 << 20:
+                    known.clear()
+                for w in set(t).difference(known):
+                    known[w] = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+                codes = np.fromiter(map(known.__getitem__, t), np.uint64, len(t))
+                h = np.zeros(max(0, len(t) - n + 1), np.uint64)
+                for k in range(n):
+                    h = (h ^ codes[k : k + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
+                    h ^= h >> np.uint64(29)
+                sets.append(np.unique(h).view(np.int64))
+            yield pa.record_batch([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "grams"])
+
+    return rows.select(F.col("id").cast("long"), "text").mapInArrow(run, "id long, grams array<long>")
+
+
+def most_shared(asked: DataFrame, given: DataFrame) -> DataFrame:
+    """asked (key, grams) and given (gid, grams) -> (key, best): the most grams that an asked set shares with one given set.
+
+    Only grams that both sides have matter; sets that are equal in those are one. Each asked set follows its grams, rarest first, in
+    rounds that grow fourfold, to candidates that are counted in full; it is done once what is left can't beat its best. So grams that
+    nearly all sets hold are only followed where nothing else is shared."""
+    digest = lambda g: F.md5(F.array_join(F.transform(g, lambda x: x.cast("string")), ","))
+    a = asked.select("key", F.explode("grams").alias("g"))
+    index = written(given.select("gid", F.explode("grams").alias("g")).join(a.select("g").distinct(), "g", "left_semi"), "index")
+    sets = index.groupBy("gid").agg(F.sort_array(F.collect_list("g")).alias("of")).groupBy(digest(F.col("of")).alias("gid")).agg(F.first("of").alias("of"))
+    sets = written(sets, "given-sets")
+    index = sets.select("gid", F.explode("of").alias("g"))
+    often = index.groupBy("g").agg(F.count("*").alias("f"))
+    known = a.join(often, "g").groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "g"))), lambda x: x["g"]).alias("ord"))
+    known = written(known.withColumn("same", digest(F.col("ord"))), "known")
+    now = known.groupBy("same").agg(F.first("ord").alias("ord")).withColumn("best", F.lit(0))
+    done, at, step = [], 0, 2
+    while True:
+        now = written(now, "asked")
+        done.append(now.filter(F.size("ord") - at <= F.col("best")).select("same", "best"))
+        now = now.filter(F.size("ord") - at > F.col("best"))
+        if now.isEmpty():
+            break
+        met = now.select("same", F.explode(F.slice("ord", at + 1, step)).alias("g")).join(index, "g").select("same", "gid").distinct()
+        full = met.join(now.select("same", "ord"), "same").join(sets, "gid")
+        got = full.groupBy("same").agg(F.max(F.size(F.array_intersect("ord", "of"))).alias("more"))
+        now = now.join(got, "same", "left").select("same", "ord", F.greatest("best", F.coalesce("more", F.lit(0))).alias("best"))
+        at, step = at + step, step * 4
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return known.select("key", "same").join(out, "same").select("key", "best")
+
+
 def memorized(gens: DataFrame, golds: DataFrame, n: int = 8) -> DataFrame:
     """gens (id, text), golds (gold_id, text) -> (id, n_grams, best, exact): the most token n-grams shared with one gold, as a share.
 
-    An inverted index: gold grams joined to generation grams, counted per pair with partial aggregation."""
-    squeeze = lambda s: F.trim(F.regexp_replace(s, r"\s+", " "))
-    gens = gens.filter("text is not null")
-    g = gens.select("id", token_grams(F.col("text"), n).alias("gs"))
-    index = golds.filter("text is not null").select("gold_id", F.explode(token_grams(F.col("text"), n)).alias("g"))
-    hits = g.select("id", F.explode("gs").alias("g")).join(index, "g").groupBy("id", "gold_id").agg(F.count("*").alias("c")).groupBy("id").agg(F.max("c").alias("best"))
-    exact = gens.select("id", squeeze(F.col("text")).alias("s")).join(golds.filter("text is not null").select(squeeze(F.col("text")).alias("s")).distinct(), "s", "left_semi").select("id", F.lit(True).alias("exact"))
-    out = g.select("id", F.size("gs").alias("n_grams")).join(hits, "id", "left").join(exact, "id", "left")
+    Equal gram sets are asked for once; grams are compared by 64-bit hashes. An exact copy is told by a digest of the squeezed text. Texts
+    of fewer than n tokens have no grams and are 0."""
+    squeeze = lambda s: F.md5(F.trim(F.regexp_replace(s, r"\s+", " ")))
+    key = lambda g: F.md5(F.array_join(F.transform(g, lambda x: x.cast("string")), ","))
+    gens, golds = gens.filter("text is not null"), golds.filter("text is not null")
+    g = written(gram_sets(gens, n).select("id", F.size("grams").alias("n_grams"), key(F.col("grams")).alias("key"), "grams"), "gram-sets")
+    asked = g.filter("n_grams > 0").groupBy("key").agg(F.first("grams").alias("grams"))
+    given = gram_sets(golds.select(F.col("gold_id").alias("id"), "text"), n).select(F.col("id").alias("gid"), "grams")
+    best = most_shared(asked, given)
+    exact = bounded(written(golds.select(squeeze(F.col("text")).alias("s")).distinct(), "gold-digests"))
+    same = gens.select("id", squeeze(F.col("text")).alias("s")).join(exact, "s", "left_semi").select("id", F.lit(True).alias("exact"))
+    out = g.select("id", "n_grams", "key").join(best, "key", "left").join(same, "id", "left")
     return out.select("id", "n_grams", F.when(F.col("n_grams") > 0, F.coalesce("best", F.lit(0)) / F.col("n_grams")).otherwise(0.0).alias("best"), (F.coalesce("exact", F.lit(False)) & (F.col("n_grams") > 0)).alias("exact"))
