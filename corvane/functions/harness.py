@@ -93,3 +93,72 @@ def corrupted(text: str, at: int, names: list[str], seed: int = 0) -> str:
     if not others:
         return text
     return text[: m.start()] + "%" + random.Random(f"{seed}/{at}").choice(others) + text[m.end() :]
+
+
+_PIECE = re.compile(r"%?[A-Za-z_$.]+|\d+|[^\s\w]")
+
+
+def patch_pair(text: str, site: int, seed: int = 0) -> dict | None:
+    """Clean and corrupted tokens of a program around one use: the use at a place in the text is renamed to another name in it, and both
+    are cut into pieces. Gives the pieces, the place of the piece before the name in either, the name's first piece, and the first
+    pieces of names in scope and out of it. None if the name isn't in scope there or there is no other."""
+    events = scope_events(text)
+    visible = {n for k, n, _, v in events if k == "def" and v <= site}
+    every = {n for _, n, _, _ in events}
+    name = next((n for k, n, at, _ in events if k == "use" and at == site), None)
+    other = corrupted(text, site, sorted(every), seed)
+    if name is None or name not in visible or other == text:
+        return None
+    first = lambda n: _PIECE.findall("%" + n)[0]
+    cut = lambda t: [(m.start(), m.group()) for m in _PIECE.finditer(t)]
+    clean, corrupt = cut(text), cut(other)
+    before = lambda p: max((i for i, (at, _) in enumerate(p) if at < site), default=-1)
+    inside = sorted({first(n) for n in visible})
+    return {"clean": [x for _, x in clean], "corrupt": [x for _, x in corrupt], "clean_at": before(clean), "corrupt_at": before(corrupt), "target": first(name), "inside": inside, "outside": sorted({first(n) for n in every - visible | {name}} - set(inside))}
+
+
+_LLVM_TYPES = {"half": "%.6e", "float": "%.9e", "double": "%.17e"}
+
+
+def dense(values: list, shape: list[int], type_: str) -> str:
+    """Nested brackets of a flat list in a shape, as a dense literal."""
+    if not shape:
+        return literal(values[0], type_)
+    step = len(values) // shape[0] if shape[0] else 0
+    return "[" + ", ".join(dense(values[i * step : (i + 1) * step], shape[1:], type_) for i in range(shape[0])) + "]"
+
+
+def memref_driver(name: str, types: list[str], values: list, trial: int, ret: str = "") -> str:
+    """A main function that fills memrefs from dense globals, calls a function and prints its result and every memref."""
+    lines, globals_, args, shown = [], [], [], []
+    for i, (v, t) in enumerate(zip(values, types)):
+        m = re.fullmatch(r"memref<((?:[\d?]+x)+)([a-z]+\d*)>", t)
+        if not m:
+            lines.append(f"%x{i} = arith.constant {literal(v, t)}" + ("" if t == "i1" else f" : {t}"))
+            args.append(f"%x{i}")
+            continue
+        shape = [3 + trial if d == "?" else int(d) for d in m.group(1).split("x")[:-1]]
+        whole = f"memref<{''.join(f'{d}x' for d in shape)}{m.group(2)}>"
+        globals_.append(f"memref.global \"private\" @g{i} : {whole} = dense<{dense(v, shape, m.group(2))}>")
+        lines += [f"%g{i} = memref.get_global @g{i} : {whole}", f"%b{i} = memref.alloc() : {whole}", f"memref.copy %g{i}, %b{i} : {whole} to {whole}"]
+        if "?" in m.group(1):
+            lines.append(f"%x{i} = memref.cast %b{i} : {whole} to {t}")
+        args.append(f"%x{i}" if "?" in m.group(1) else f"%b{i}")
+        flat = f"memref<*x{m.group(2)}>"
+        shown += [f"%u{i} = memref.cast %b{i} : {whole} to {flat}", f"call @printMemref{m.group(2).upper()}(%u{i}) : ({flat}) -> ()"]
+    call = f"func.call @{name}({', '.join(args)}) : ({', '.join(types)}) -> " + (ret or "()")
+    body = [*lines, ("%r = " if ret else "") + call, *([f"vector.print %r : {ret}"] if ret else []), *shown, "return"]
+    used = sorted({m.group(1) for t in types if (m := re.search(r"x([a-z]+\d*)>$", t))})
+    return "\n".join([*globals_, *(f"func.func private @printMemref{u.upper()}(memref<*x{u}>)" for u in used), "func.func @main() {", *("  " + x for x in body), "}"])
+
+
+def llvm_driver(name: str, types: list[str], values: list, ret: str) -> str:
+    """A main function in LLVM IR that calls a function on constants and prints its result by printf."""
+    value = lambda v, t: repr(float(v)) if t in _LLVM_TYPES else str(int(v))
+    shape = _LLVM_TYPES.get(ret, "%lld")
+    wide = "double" if ret in _LLVM_TYPES else "i64"
+    widen = [] if ret == wide else [f"  %w = {'fpext' if ret in _LLVM_TYPES else 'sext'} {ret} %r to {wide}"]
+    return "\n".join([
+        f'@fmt = private constant [{len(shape) + 2} x i8] c"{shape}\\0A\\00"', "declare i32 @printf(ptr, ...)", "define i32 @main() {", "entry:",
+        f"  %r = call {ret} @{name}({', '.join(f'{t} {value(v, t)}' for v, t in zip(values, types))})", *widen, f"  %n = call i32 (ptr, ...) @printf(ptr @fmt, {wide} {'%w' if widen else '%r'})", "  ret i32 0", "}",
+    ])

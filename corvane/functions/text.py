@@ -60,6 +60,7 @@ LLVM_PATTERNS = (
     ("scope", r"use of undefined value|does not dominate all uses|PHINode should have one entry|PHI node entries do not match predecessors|PHI nodes not grouped|multiple definition of local value|only PHI nodes may reference their own value|PHI node has multiple entries|Instruction does not dominate"),
     ("type", r"defined with type .* but expected|invalid operand type|both operands .* same type|expected (?:icmp|fcmp) predicate|floating point constant invalid for type|integer constant must have integer type|constant expression type mismatch|invalid cast opcode|cast .* invalid|type mismatch|must be (?:integer|floating.point)|invalid type for|explicit pointee type doesn't match|stored value and pointer type|expected .* type|does not match|is not a valid .* type|requires .* type"),
 )
+#: What tells a message about shapes, and the names of operations.
 SHAPE_PATTERN = r"(?i)shape|rank|dimension|dim |inner dimension|incompatible|expected .*tensor|expected .*memref|number of operands"
 OP_PATTERN = r"\b((?:arith|memref|linalg|func|stablehlo|scf|math|cf|tensor|vector|affine)\.[a-z_]+)\b"
 REWARD_OP_PATTERN = r"\b((?:arith|memref|linalg|func|stablehlo|scf|math|cf|tensor)\.[a-z_]+)\b"
@@ -154,6 +155,7 @@ def llvm_signature_score(gen: Column, gold: Column) -> Column:
 
 INTS, FLOATS = ("i1", "i8", "i16", "i32", "i64"), ("f16", "f32", "f64")
 PRINTABLE = ("f32", "f64", "i32", "i64")
+#: Types that can be run and printed; a ranked memref.
 MEMREF = r"^memref<(\?|\d+)((?:x(?:\?|\d+))*)x([fi]\d+)>$"
 
 
@@ -217,6 +219,7 @@ def outputs_equal(a: Column, b: Column, exact: bool = False, abs_tol: float = 1e
     return (F.size(a) == F.size(b)) & F.forall(F.zip_with(a, b, same), lambda ok: F.coalesce(ok, F.lit(False)))
 
 
+#: A check line of a test file.
 DIRECTIVE = r"^//\s*([A-Z][A-Z0-9_]*)(?:-(?:NEXT|SAME|DAG|NOT|LABEL|EMPTY|COUNT-\d+))*\s*:\s*(.*)$"
 
 
@@ -247,6 +250,7 @@ def weak_prompt(path: Column) -> Column:
     return F.array_join(F.concat(parts, F.array(stem)), " ")
 
 
+#: Names, types and numbers that a rewrite must keep.
 KEEP = r"`[^`]+`|\b(?:i1|i8|i16|i32|i64|f16|f32|f64|index)\b|(?:tensor|memref)<[^>]*>|\b\d+\b"
 
 
@@ -270,3 +274,9 @@ def chat_prompt(nl: Column, header: Column | None = None) -> Column:
     """A chat-markup prompt; header, where not null, is the interface to keep."""
     task = nl if header is None else F.concat(nl, F.coalesce(F.concat(F.lit("\nUse exactly this interface: "), header), F.lit("")))
     return F.concat(F.lit("<|im_start|>user\n"), task, F.lit("<|im_end|>\n<|im_start|>assistant\n"))
+
+
+def few_shot_prompt(nl: Column, examples: list[tuple[str, str]]) -> Column:
+    """A chat-markup prompt behind worked examples: each an instruction and its answer, as earlier turns."""
+    turn = lambda who, what: f"<|im_start|>{who}\n{what}<|im_end|>\n"
+    return F.concat(F.lit("".join(turn("user", q) + turn("assistant", a) for q, a in examples)), chat_prompt(nl))

@@ -92,3 +92,10 @@ def differences(vectors: DataFrame, pairs: DataFrame, key: str, vec: str) -> Dat
     """The difference of two rows' vectors for each pair (a, b) of keys."""
     v = lambda n: vectors.select(F.col(key).alias(n), F.col(vec).alias("_" + n))
     return pairs.join(v("a"), "a").join(v("b"), "b").select(*pairs.columns, F.zip_with("_a", "_b", lambda x, y: x - y).alias("diff"))
+
+
+def best_layer(accuracies: DataFrame, keys: list[str], layer: str = "layer", acc: str = "acc") -> DataFrame:
+    """(keys, layer, acc) -> keys, best, best_acc, first_acc, last_acc: the layer of the highest accuracy (the lowest of equals), and the
+    accuracies of the first and the last layer."""
+    best = F.max_by(F.struct(layer, acc), F.struct(F.col(acc), -F.col(layer))).alias("b")
+    return accuracies.groupBy(*keys).agg(best, F.min_by(acc, layer).alias("first_acc"), F.max_by(acc, layer).alias("last_acc")).select(*keys, F.col(f"b.{layer}").alias("best"), F.col(f"b.{acc}").alias("best_acc"), "first_acc", "last_acc")

@@ -184,8 +184,8 @@ def best_checkpoint(spark, d):
 
 
 def error_histogram(spark, d):
-    rows = table(spark, d, "ladder").filter("error is not null")
-    return rows.groupBy("model", "constraint_stack", T.error_category(F.col("error")).alias("category")).agg(F.count("*").alias("n"))
+    rows = table(spark, d, "ladder").filter("error is not null").join(table(spark, d, "eval_pool").select("prompt_id", "dialect"), "prompt_id", "left")
+    return rows.groupBy("model", "constraint_stack", "dialect", T.error_category(F.col("error")).alias("category")).agg(F.count("*").alias("n"))
 
 
 def attempt_reasons(spark, d):
@@ -402,7 +402,7 @@ SQL = {
     "group_advantages": "WITH r AS (SELECT row_id, prompt_id, verify_valid::INT::DOUBLE / greatest(attempts, 1) AS reward FROM ladder), g AS (SELECT prompt_id, avg(reward) AS m, stddev_pop(reward) AS s FROM r GROUP BY 1) SELECT row_id, round(CASE WHEN s > 0 THEN (reward - m) / (s + 1e-6) ELSE 0 END, 6) AS adv FROM r JOIN g USING (prompt_id)",
     "replaced_lowest": "SELECT row_id FROM ladder QUALIFY row_number() OVER (PARTITION BY prompt_id ORDER BY verify_valid::INT * 100 - attempts, row_id) > 2",
     "best_checkpoint": f"WITH {_CELLS}, g AS (SELECT family, c.ckpt, avg(verify_valid::INT) AS rate, count(*) AS n FROM c JOIN model_pins USING (model) GROUP BY 1, 2) SELECT family, ckpt, round(rate, 6) AS rate, n FROM g QUALIFY row_number() OVER (PARTITION BY family ORDER BY rate DESC, n DESC, ckpt DESC) = 1",
-    "error_histogram": f"SELECT model, constraint_stack, {_CAT} AS category, count(*) AS n FROM ladder WHERE error IS NOT NULL GROUP BY 1, 2, 3",
+    "error_histogram": f"SELECT model, constraint_stack, dialect, {_CAT} AS category, count(*) AS n FROM ladder LEFT JOIN (SELECT prompt_id, dialect FROM eval_pool) USING (prompt_id) WHERE error IS NOT NULL GROUP BY 1, 2, 3, 4",
     "attempt_reasons": "SELECT method, CASE WHEN error IS NOT NULL THEN 'error' WHEN NOT parse_valid THEN 'parse_fail' WHEN list_contains(scope_passed_per_try, false) THEN 'scope_retry' WHEN NOT verify_valid THEN 'verify_fail' ELSE 'pass' END AS reason, count(*) AS n FROM ladder GROUP BY 1, 2",
     "family_gate": f"WITH {_CELLS} SELECT family, count(*) AS n, count(*) FILTER (NOT parse_valid) AS parse_fail, count(*) FILTER (parse_valid AND NOT verify_valid) AS verify_fail, count(*) FILTER (verify_valid) AS passed, round(count(*) FILTER (verify_valid) / count(*), 6) AS pass_rate FROM c JOIN model_pins USING (model) GROUP BY 1",
     "dialect_rollup": f"WITH {_CELLS} SELECT e.dialect, grouping(e.dialect)::INT AS is_total, count(*) AS n, round(avg(verify_valid::INT), 6) AS verify_rate FROM c JOIN eval_pool e USING (prompt_id) GROUP BY ROLLUP (e.dialect)",

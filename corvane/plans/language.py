@@ -13,7 +13,7 @@ from corvane.operators import generators, probe, split
 from corvane.sources import jsonl, sinks
 from corvane.store import shared_dir, table
 from corvane.streaming import ingest
-from corvane.validators import as_udf, mlir, synth
+from corvane.validators import as_udf, grammar, mlir, synth
 
 
 def programs(spark, d):
@@ -76,6 +76,18 @@ def template_pool(spark, d):
     return checked.groupBy("family").agg(F.count("*").alias("n"), F.count_if("ok").alias("n_ok"))
 
 
+def second_pool(spark, d):
+    """Generated records of the second set of families mixed into the first: how many of each pass the scope validator and the grammar."""
+    made = generators.templates(spark, 3000, 7, second=0.5).filter(F.col("family").isin(*generators.SECOND))
+
+    @F.pandas_udf("boolean")
+    def form(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: grammar.parses(t, "mlir_c1_c2"))
+
+    checked = made.select("family", as_udf(mlir.check)(F.col("mlir"))["passed"].alias("ok"), form("mlir").alias("form"))
+    return checked.groupBy("family").agg(F.count("*").alias("n"), F.count_if("ok").alias("n_ok"), F.count_if("form").alias("n_form"))
+
+
 def stratified_split(spark, d):
     rows = table(spark, d, "train_v1").filter("dialect is not null").select("row_id", "dialect")
     return split.stratified(rows, "row_id", "dialect", {"arith+func": (50, 200), "linalg": (25, 75)}, 3)
@@ -302,7 +314,7 @@ def windowed_stream(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        trial_inputs, unwrapped_programs, scope_events, corrupted_uses, surface_baseline, windowed_stream, scope_verdicts, scope_violations, parse_verdicts, domain_violations, use_sites, synth_grid, template_pool, stratified_split, topped_up_pool, group_folds, probe_accuracy, hashed_features, last_windows, legal_tokens,
+        trial_inputs, unwrapped_programs, scope_events, corrupted_uses, surface_baseline, windowed_stream, scope_verdicts, scope_violations, parse_verdicts, domain_violations, use_sites, synth_grid, template_pool, second_pool, stratified_split, topped_up_pool, group_folds, probe_accuracy, hashed_features, last_windows, legal_tokens,
         token_entropy, pair_differences, patch_recovery, number_outputs, content_keys, jsonl_round_trip, resumed_log, upserted_cells, replaced_rows, verdict_cache, streamed_log, candidate_rows,
     )
 }

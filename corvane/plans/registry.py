@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corvane.plans import evaluation, language, pool, relational, trials
+from corvane.plans import campaign, cases, evaluation, language, pool, relational, trials
 
-MODULES = (pool, evaluation, trials, language, relational)
+MODULES = (pool, evaluation, trials, language, relational, cases, campaign)
 
 
 def queries() -> dict:

@@ -22,8 +22,9 @@ def load_set(spark: SparkSession, path: str, schema: str = POOL) -> DataFrame:
 
 
 def load_protected(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(src, nl, mlir) of all protected files; mlir falls back to gold_mlir. A missing file is an error, since it would protect nothing."""
-    rows = spark.read.schema(POOL).json(paths)
+    """(src, nl, mlir) of all protected files; mlir falls back to gold_mlir. A missing file is an error, and
+    so is a malformed line, since either would protect nothing."""
+    rows = spark.read.schema(POOL).option("mode", "FAILFAST").json(paths)
     return rows.select(F.col("_metadata.file_path").alias("src"), F.coalesce("nl", F.lit("")).alias("nl"), F.coalesce("mlir", "gold_mlir", F.lit("")).alias("mlir"))
 
 
@@ -56,3 +57,17 @@ def candidates(rows: DataFrame, dialect: str | None = None, model_part: str | No
         rows = rows.filter(F.col("constraint_stack").isNull() | F.col("constraint_stack").isin(*stacks))
     rest = [c for c in rows.columns if c != "prompt_id"]
     return rows.groupBy("prompt_id").agg(F.max_by(F.struct(*rest), F.col(order)).alias("_r")).select("prompt_id", "_r.*")
+
+
+def parse_cells(specs: list[str], revisions: dict[str, str] | None = None) -> list[dict]:
+    """Cells of a grid from 'TAG MODEL [CKPT]': tag, model, its pinned revision, ckpt and whether it is trained. Other forms, and a tag
+    that is there already, are errors."""
+    out: list[dict] = []
+    for spec in specs:
+        parts = spec.split()
+        if len(parts) not in (2, 3):
+            raise ValueError(f"a cell is TAG MODEL [CKPT], not {spec!r}")
+        if any(c["tag"] == parts[0] for c in out):
+            raise ValueError(f"tag {parts[0]!r} is there already")
+        out.append({"tag": parts[0], "model": parts[1], "revision": (revisions or {}).get(parts[1]), "ckpt": parts[2] if len(parts) == 3 else None, "trained": len(parts) == 3})
+    return out
