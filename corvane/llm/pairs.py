@@ -164,22 +164,27 @@ def looked_at(rows: DataFrame) -> DataFrame:
 def refusal_model(looked: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(prose, ratio, seeded) of each distinct prose that is only met without a program: the mean log ratio of its n-grams' counts in
     answers that decline to those in all other prose, its own left out. Self-trained: at first those with a SEED decline and what
-    stands beside programs or in questions doesn't; then each round counts anew by the last round's ratios."""
+    stands beside programs or in questions doesn't; then each round counts anew by the last round's ratios, until nothing
+    changes or for so many rounds."""
     worded = r"prose rlike '\\p{L}'"
     talk = looked.filter(worded).groupBy("prose").agg(F.max("program").alias("beside"))
-    asked = looked.filter("nl is not null").select(own_words(F.col("nl")).alias("prose")).filter(worded).distinct().withColumn("beside", F.lit(True))
+    asked = looked.filter("nl is not null").select(F.btrim("nl", F.lit(" \t\r\n")).alias("nl")).distinct().select(own_words(F.col("nl")).alias("prose")).filter(worded).distinct().withColumn("beside", F.lit(True))
     kinds = talk.unionByName(asked).groupBy("prose").agg(F.max("beside").alias("beside"))
     kinds = written(kinds.select("prose", F.xxhash64("prose").alias("id"), "beside", F.lower("prose").rlike(SEEDS).alias("seeded")), "prose")
     alone = written(kinds.filter("not beside").select("id", "seeded", F.explode(phrases(F.col("prose"))).alias("gram")), "phrases")
     beside = kinds.filter("beside").select(F.explode(phrases(F.col("prose"))).alias("gram")).groupBy("gram").agg(F.count("*").alias("beside"))
     beside = written(beside.join(alone.select("gram").distinct(), "gram", "left_semi"), "phrases-beside")
-    now = kinds.filter("not beside and seeded").select("id", F.lit(1).alias("pos"))
+    now, before = kinds.filter("not beside and seeded").select("id", F.lit(1).alias("pos")), None
     for k in range(rounds):
         marked = alone.join(now, "id", "left").withColumn("neg", 1 - F.col("pos")).na.fill(0, ["pos", "neg"])
         sums = marked.groupBy("gram").agg(F.sum("pos").alias("p"), F.sum("neg").alias("q")).join(beside, "gram", "left").na.fill(0, ["beside"])
         ratio = F.log((F.col("p") - F.col("pos") + 0.5) / (F.col("q") - F.col("neg") + F.col("beside") + 0.5))
         scored = written(marked.join(sums, "gram").groupBy("id").agg(F.avg(ratio).alias("ratio")), f"ratios-{k}")
         now = scored.select("id", (F.col("ratio") > RATIO).cast("int").alias("pos"))
+        state = now.agg(F.sum("pos"), F.sum(F.col("pos") * F.pmod("id", F.lit(1_000_003)))).first()
+        if state == before:  # the same rows decline as in the round before
+            break
+        before = state
     return kinds.filter("not beside").join(scored, "id").select("prose", "ratio", "seeded")
 
 
