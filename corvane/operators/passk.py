@@ -41,10 +41,12 @@ def advantages(rollouts: DataFrame, group: str, reward: Column, eps: float = 1e-
     return r.join(g, group).withColumn("adv", F.when(F.col("_s") > 0, (F.col("reward") - F.col("_m")) / (F.col("_s") + eps)).otherwise(0.0)).drop("_m", "_s")
 
 
-def without_lowest(rollouts: DataFrame, group: str, reward: str, tie: str, n: int) -> DataFrame:
-    """The rollouts left when each group's n lowest make room for its gold."""
-    w = Window.partitionBy(group).orderBy(reward, tie)
-    return rollouts.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") > n).drop("_r")
+def without_lowest(rollouts: DataFrame, group: str, reward: str, tie: str, n: int, parts: int = 64) -> DataFrame:
+    """The rollouts left when each group's n lowest make room for its gold; (reward, tie) is unique in a group. The n lowest of each of
+    `parts` parts of a group are found first, then those of the group, so a hot group isn't one task."""
+    lowest = lambda rows, *by: rows.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(reward, tie))).filter(F.col("_r") <= n).drop("_r")
+    few = lowest(rollouts.select(group, reward, tie, F.pmod(F.xxhash64(tie), F.lit(parts)).alias("_part")), group, "_part")
+    return rollouts.join(lowest(few, group).select(group, reward, tie), [group, reward, tie], "left_anti")
 
 
 def first_ok(attempts: DataFrame, keys: list[str], ok: str, order: str) -> DataFrame:

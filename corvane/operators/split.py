@@ -11,14 +11,25 @@ def order_key(seed: int, key: Column) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
 
 
+def ranked(rows: DataFrame, key: str, seed: int, within: str | None = None) -> DataFrame:
+    """rows with _r: the place, from 1, in the seeded order, in each group of within. The order's digests fall into 4096 ranges; a place is
+    the count of the ranges before and the place in its own, so neither a group nor the whole is one task. Rows whose group is null
+    have no place and fall out."""
+    by = [within] if within else []
+    keyed = rows.withColumn("_o", order_key(seed, F.col(key))).withColumn("_b", F.substring("_o", 1, 3))
+    before = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # at most 4096 rows a group
+    base = keyed.groupBy(*by, "_b").agg(F.count("*").alias("_n")).select(*by, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    inner = F.row_number().over(Window.partitionBy(*by, "_b").orderBy("_o", key))
+    return keyed.withColumn("_i", inner).join(base, [*by, "_b"]).withColumn("_r", F.col("_base") + F.col("_i")).select(*rows.columns, "_r")
+
+
 def stratified(rows: DataFrame, key: str, stratum: str, quotas: dict[str, tuple[int, int]], seed: int) -> DataFrame:
     """rows with split: in each stratum the first quotas[stratum][0] rows are dev, the next [1] train; all others fall out."""
-    ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy(stratum).orderBy(order_key(seed, F.col(key)), key)))
     out = F.lit(None).cast("string")
     for name, (dev, train) in quotas.items():
         here = F.col(stratum) == name
         out = F.when(here & (F.col("_r") <= dev), "dev").when(here & (F.col("_r") <= dev + train), "train").otherwise(out)
-    return ranked.withColumn("split", out).filter("split is not null").drop("_r")
+    return ranked(rows, key, seed, stratum).withColumn("split", out).filter("split is not null").drop("_r")
 
 
 def dev_quotas(counts: dict[str, int], first: str, n_dev: int) -> dict[str, int]:
@@ -37,6 +48,5 @@ def topped_up(first: DataFrame, rest: DataFrame, key: str, n: int, seed: int) ->
 def folds(rows: DataFrame, group: str, k: int, seed: int) -> DataFrame:
     """rows with fold in 0 .. k - 1; a group is never split, and folds differ by at most one group. The group table is ranked by
     a hash, its rows are joined back."""
-    groups = rows.select(group).distinct().withColumn("_o", order_key(seed, F.col(group)))
-    ranked = groups.withColumn("fold", (F.row_number().over(Window.orderBy("_o", group)) - 1) % k).drop("_o")
-    return rows.join(ranked, group)
+    places = ranked(rows.select(group).distinct(), group, seed)
+    return rows.join(places.select(group, ((F.col("_r") - 1) % k).cast("int").alias("fold")), group)

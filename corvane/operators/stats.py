@@ -153,6 +153,24 @@ def pair_count_interval(counts: DataFrame, resamples: int = 10_000, alpha: float
     return got.withColumns({"point": F.try_divide(F.col("up") - F.col("down"), F.col("n")), "ci_low": F.col("_i.low"), "ci_high": F.col("_i.high"), "p_value": F.col("_i.p")}).drop("_i")
 
 
+def value_interval(values: DataFrame, keys: list[str], value: str, resamples: int = 10_000, alpha: float = 0.05, seed: int = 0) -> DataFrame:
+    """rows (keys, value) -> keys, n, point, ci_low, ci_high: the percentile bootstrap of a mean of any values. Equal values are counted
+    first, and a resample draws how often each is met; the cost goes with the distinct values of a group, as rates of few trials have."""
+
+    def run(t: pd.DataFrame) -> pd.DataFrame:
+        t = t.sort_values(value)
+        x, c = t[value].to_numpy(float), t["_c"].to_numpy()
+        n, rng = int(c.sum()), np.random.default_rng(seed)
+        step = max(1, 2**22 // len(x))
+        means = np.concatenate([rng.multinomial(n, c / n, size=min(step, resamples - k)) @ x for k in range(0, resamples, step)]) / n
+        low, high = _bounds(means, alpha)
+        return pd.DataFrame({**{k: [t[k].iloc[0]] for k in keys}, "n": [n], "point": [float(x @ c / n)], "ci_low": [low], "ci_high": [high]})
+
+    counts = values.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in values.schema if f.name in keys)
+    return counts.groupBy(*keys).applyInPandas(run, f"{fields}, n long, point double, ci_low double, ci_high double")
+
+
 def min_detectable_effect(n: int, alpha: float = 0.05, power: float = 0.8, rate: float = 0.5) -> float:
     """The least difference of two rates that n rows an arm can show; infinite for no rows."""
     if n <= 0:

@@ -58,6 +58,11 @@ SCOPE = (
     ("two functions", _fn("return %a : i32") + "\n" + _fn("return %a : i32", params="%b : i32"), "undef_use"),
     ("no function", "text with %z", ""),
 )
+_OP = lambda op, t: _fn(f"%r = arith.{op} %x, %x : {t}\nreturn %r : {t}", params=f"%x : {t}", ret=f" -> {t}")
+DOMAINS = (
+    ("integers", _OP("addi", "i32"), ""), ("index", _OP("muli", "index"), ""), ("floats", _OP("mulf", "f64"), ""), ("integer operation on floats", _OP("addi", "f32"), "type_domain"), ("float operation on integers", _OP("maximumf", "i16"), "type_domain"),
+    ("float operation on index", _OP("divf", "index"), "type_domain"), ("comparison isn't told", _fn("%t = arith.cmpi slt, %f, %f : f32\nreturn %a : i32"), ""), ("in a loop", _fn("scf.for %k = %i to %i step %i {\n%y = arith.xori %f, %f : f32\n}\nreturn %a : i32"), "type_domain"),
+)
 _LL = "define i32 @f(i32 %a, i1 %c) {\nentry:\n  %x = add i32 %a, 1\n  br i1 %c, label %t, label %e\nt:\n  %y = mul i32 %x, 2\n  br label %e\ne:\n  %p = phi i32 [ %x, %entry ], [ %y, %t ]\n  ret i32 %p\n}\n"
 DOMINANCE = (
     ("plain", _LL, ""), ("no entry label", _LL.replace("entry:\n", "", 1), ""), ("undefined", _LL.replace("ret i32 %p", "ret i32 %q"), "undef_use"), ("not on every way", _LL.replace("ret i32 %p", "ret i32 %y"), "not_dominated"),
@@ -97,6 +102,10 @@ def scope_cases(spark, d):
     return _verdicts(spark, SCOPE, mlir.check)
 
 
+def domain_cases(spark, d):
+    return _verdicts(spark, DOMAINS, mlir.type_domains)
+
+
 def dominance_cases(spark, d):
     return _verdicts(spark, DOMINANCE, llvm.check)
 
@@ -120,9 +129,10 @@ def _values(cases) -> str:
     return ", ".join("(" + ", ".join(quote(x) for x in c) + ")" for c in cases)
 
 
-QUERIES = {f.__name__: f for f in (scope_cases, dominance_cases, layer_cases, grammar_cases)}
+QUERIES = {f.__name__: f for f in (scope_cases, domain_cases, dominance_cases, layer_cases, grammar_cases)}
 SQL = {
     "scope_cases": f"SELECT * FROM (VALUES {_values(tuple((n, k) for n, _, k in SCOPE))}) AS t(name, kinds)",
+    "domain_cases": f"SELECT * FROM (VALUES {_values(tuple((n, k) for n, _, k in DOMAINS))}) AS t(name, kinds)",
     "dominance_cases": f"SELECT * FROM (VALUES {_values(tuple((n, k) for n, _, k in DOMINANCE))}) AS t(name, kinds)",
     "layer_cases": f"SELECT * FROM (VALUES {_values(tuple((n, k) for n, _, k in LAYERS))}) AS t(name, kinds)",
     "grammar_cases": f"SELECT * FROM (VALUES {_values(tuple((a, b, x) for a, b, _, x in GRAMMAR))}) AS t(language, name, accepted)",

@@ -151,6 +151,31 @@ def sampled_pass1(spark, d):
     return per_prompt.groupBy("model").agg(F.count("*").alias("prompts"), F.round(F.avg("p"), 6).alias("pass1"))
 
 
+def sampled_pass1_intervals(spark, d):
+    """Sampled pass@1 with an interval by resampling prompts."""
+    per_prompt = samples(spark, d).groupBy("model", "prompt_id").agg(F.avg(F.col("verify_valid").cast("double")).alias("p"))
+    return _rounded(stats.value_interval(per_prompt, ["model"], "p", RESAMPLES), "model", "n", "point", "ci_low", "ci_high")
+
+
+def _token_gaps(spark, d):
+    """(model, prompt_id, gap): the mean difference per token of two series of a prompt, its first and its last generation; a token's
+    score is made of its id. Series of unequal or no length give none."""
+    one = table(spark, d, "gen_out").groupBy("model", "prompt_id").agg(F.min_by("tokens", "gen_id").alias("a"), F.max_by("tokens", "gen_id").alias("b"))
+    score = lambda c: F.transform(c, lambda t: -F.log(t + 1.0))
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
+    gap = total(F.zip_with(score("a"), score("b"), lambda x, y: x - y)) / F.size("a")
+    return one.select("model", "prompt_id", F.when((F.size("a") > 0) & (F.size("a") == F.size("b")), gap).alias("gap"))
+
+
+def token_gaps(spark, d):
+    """Per model: prompts, those with two series of one length, and the mean of their mean differences per token."""
+    return _token_gaps(spark, d).groupBy("model").agg(F.count("*").alias("n"), F.count("gap").alias("n_used"), F.round(F.avg("gap"), 6).alias("gap"))
+
+
+def token_gap_intervals(spark, d):
+    return _rounded(stats.value_interval(_token_gaps(spark, d), ["model"], "gap", SIZE_RESAMPLES), "model", "n", "point", "ci_low", "ci_high")
+
+
 def next_sample(spark, d):
     per = samples(spark, d).groupBy("model", "prompt_id").agg((F.max("sample") + 1).alias("next"))
     return per.groupBy("model").agg(F.min("next").cast("int").alias("start"))
@@ -215,14 +240,6 @@ def token_curve(spark, d):
     return table(spark, d, "gen_out").select(F.posexplode("tokens").alias("pos", "tok")).groupBy("pos").agg(F.count("*").alias("n"), F.round(F.avg("tok"), 6).alias("mean"))
 
 
-def sequence_gap(spark, d):
-    """Mean over rows of the mean difference of two equally long per-token series; rows of unequal or no length are left out."""
-    other = F.transform("tokens", lambda t: (t * 7919 + 13) % 50257)
-    rows = table(spark, d, "gen_out").filter(F.size("tokens") > 0).select("model", F.zip_with("tokens", other, lambda a, b: F.log(a + 1.0) - F.log(b + 1.0)).alias("gap"))
-    per = rows.select("model", (F.aggregate("gap", F.lit(0.0), lambda s, x: s + x) / F.size("gap")).alias("m"))
-    return per.groupBy("model").agg(F.count("*").alias("n"), F.round(F.avg("m"), 6).alias("gap"))
-
-
 def candidate_status(spark, d):
     """Each prompt of the pool against one model's answers: scored, missing, or asked with another prompt."""
     one = cells(spark, d, "method", "nl", "verify_valid", "row_id").filter("constraint_stack = 'c1_c2_c3' and method = 'sft'").groupBy("prompt_id").agg(F.max_by(F.struct("nl", "verify_valid"), F.col("row_id")).alias("c"))
@@ -304,8 +321,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         ladder_latest, ladder_summary, ladder_deltas, rate_intervals, rank_intervals, delta_intervals, numpy_intervals, residual_rates, category_histogram, residuals, residuals_by_subset, conditional_residual,
-        internalized_gate, resume_todo, completed_cells, ablation_grid, passk_first_hits, passk_curve, passk_grid, passk_overlap, sampled_pass1, next_sample, first_divergence, retry_outcome,
-        group_advantages, replaced_lowest, best_checkpoint, error_histogram, attempt_reasons, family_gate, dialect_rollup, dev_rollup, token_curve, sequence_gap, candidate_status, gold_positions, task_rewards,
+        internalized_gate, resume_todo, completed_cells, ablation_grid, passk_first_hits, passk_curve, passk_grid, passk_overlap, sampled_pass1, sampled_pass1_intervals, token_gaps, token_gap_intervals, next_sample, first_divergence, retry_outcome,
+        group_advantages, replaced_lowest, best_checkpoint, error_histogram, attempt_reasons, family_gate, dialect_rollup, dev_rollup, token_curve, candidate_status, gold_positions, task_rewards,
         signature_matches, model_tags, seed_averages, size_fits, power_law, size_fit_resamples, detectable_effects,
     )
 }
@@ -396,6 +413,7 @@ SQL = {
     "passk_grid": f"WITH {_HITS} SELECT model, k::INT AS k, count(*) AS prompts, count(*) FILTER (first_hit <= k) AS solved FROM h, unnest([1, 2, 4]) AS g(k) GROUP BY 1, 2",
     "passk_overlap": f"WITH {_HITS}, a AS (SELECT DISTINCT model, prompt_id FROM ladder WHERE verify_valid AND constraint_stack = 'c1_c2_c3'), b AS (SELECT model, prompt_id FROM h WHERE first_hit <= 2) SELECT (SELECT count(*) FROM a SEMI JOIN b USING (model, prompt_id)) AS both, (SELECT count(*) FROM a ANTI JOIN b USING (model, prompt_id)) AS only_a, (SELECT count(*) FROM b ANTI JOIN a USING (model, prompt_id)) AS only_b",
     "sampled_pass1": "SELECT model, count(*) AS prompts, round(avg(p), 6) AS pass1 FROM (SELECT model, prompt_id, avg(verify_valid::INT) AS p FROM ladder GROUP BY 1, 2) GROUP BY 1",
+    "token_gaps": "WITH o AS (SELECT model, prompt_id, arg_min(tokens, gen_id) AS a, arg_max(tokens, gen_id) AS b FROM gen_out GROUP BY 1, 2), g AS (SELECT model, CASE WHEN len(a) > 0 AND len(a) = len(b) THEN list_sum(list_transform(range(1, len(a) + 1), lambda i: ln(b[i] + 1.0) - ln(a[i] + 1.0))) / len(a) END AS gap FROM o) SELECT model, count(*) AS n, count(gap) AS n_used, round(avg(gap), 6) AS gap FROM g GROUP BY 1",
     "next_sample": "SELECT model, min(n)::INT AS start FROM (SELECT model, prompt_id, count(*) + 1 AS n FROM ladder GROUP BY 1, 2) GROUP BY 1",
     "first_divergence": "SELECT model, row_id, list_position(scope_passed_per_try, false) - 1 AS first_fail FROM ladder WHERE list_contains(scope_passed_per_try, false)",
     "retry_outcome": "SELECT row_id, CASE WHEN list_contains(scope_passed_per_try, true) THEN list_position(scope_passed_per_try, true) ELSE len(scope_passed_per_try) END - 1 AS attempt, list_contains(scope_passed_per_try, true) AS ok FROM ladder WHERE len(scope_passed_per_try) > 0",
@@ -408,7 +426,6 @@ SQL = {
     "dialect_rollup": f"WITH {_CELLS} SELECT e.dialect, grouping(e.dialect)::INT AS is_total, count(*) AS n, round(avg(verify_valid::INT), 6) AS verify_rate FROM c JOIN eval_pool e USING (prompt_id) GROUP BY ROLLUP (e.dialect)",
     "dev_rollup": f"WITH {_CELLS} SELECT model, count(*) AS n, count(DISTINCT trim(regexp_replace(generated, '\\s+', ' ', 'g'))) AS distinct_programs, round(avg(n_tokens), 6) AS mean_len, count(*) FILTER (NOT coalesce(finished, true)) AS unfinished FROM c GROUP BY 1",
     "token_curve": "SELECT i - 1 AS pos, count(*) AS n, round(avg(tok), 6) AS mean FROM (SELECT unnest(tokens) AS tok, generate_subscripts(tokens, 1) AS i FROM gen_out) GROUP BY 1",
-    "sequence_gap": "SELECT model, count(*) AS n, round(avg(m), 6) AS gap FROM (SELECT model, list_avg(list_transform(tokens, lambda t: ln(t + 1.0) - ln((t::BIGINT * 7919 + 13) % 50257 + 1.0))) AS m FROM gen_out WHERE len(tokens) > 0) GROUP BY 1",
     "candidate_status": f"WITH {_CELLS}, o AS (SELECT prompt_id, arg_max(nl, row_id) AS nl FROM c WHERE constraint_stack = 'c1_c2_c3' AND method = 'sft' GROUP BY 1) SELECT e.prompt_id, CASE WHEN o.prompt_id IS NULL THEN 'no_candidate_row' WHEN trim(o.nl) <> trim(e.nl) THEN 'nl_mismatch' WHEN gold_mlir IS NULL THEN 'no_reference' ELSE 'scored' END AS status FROM eval_pool e LEFT JOIN o USING (prompt_id)",
     "gold_positions": "SELECT prompt_id, row_number() OVER (ORDER BY prompt_id) - 1 AS position FROM eval_pool",
     "task_rewards": f"WITH {reward_sql} SELECT row_id, round(sig, 6) AS sig, round(jac, 6) AS jac, round(CASE WHEN verify_valid THEN sig * jac ELSE 0.0 END, 6) AS reward FROM kk",

@@ -228,7 +228,7 @@ def candidate_rows(spark, d):
 
 
 def trial_inputs(spark, d):
-    """Per gold with a scalar signature and trial: the inputs drawn for it and the driver that runs it, as digests."""
+    """Per gold that the harness can run, and trial: the inputs drawn for it and the driver that runs it, as digests."""
 
     @F.pandas_udf("inputs string, driver string")
     def run(pid: pd.Series, trial: pd.Series, name: pd.Series, args: pd.Series, ret: pd.Series) -> pd.DataFrame:
@@ -236,12 +236,12 @@ def trial_inputs(spark, d):
         for p, k, n, a, r in zip(pid, trial, name, args, ret):
             types = list(a)
             values = harness.draws(str(p), int(k), types)
-            rows.append((repr(values), harness.driver(n, types, values, r)))
+            made = harness.memref_driver(n, types, values, int(k), r) if any(t.startswith("memref") for t in types) else harness.driver(n, types, values, r)
+            rows.append((repr(values), made))
         return pd.DataFrame(rows, columns=["inputs", "driver"])
 
     sig = table(spark, d, "eval_pool").filter("gold_mlir is not null").select("prompt_id", T.public_signature(F.col("gold_mlir")).alias("s"))
-    scalar = sig.filter("s is not null and s.ret <> ''").filter(~F.exists("s.args", lambda a: a.startswith("memref")))
-    each = scalar.select("prompt_id", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("trial"), "s")
+    each = sig.filter(T.exclusion(F.col("s")).isNull()).select("prompt_id", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("trial"), "s")
     return each.select("prompt_id", "trial", run("prompt_id", "trial", "s.name", "s.args", "s.ret").alias("r")).select("prompt_id", "trial", F.md5("r.inputs").alias("inputs"), F.md5("r.driver").alias("driver"))
 
 

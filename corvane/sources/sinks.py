@@ -17,9 +17,12 @@ def _read(spark: SparkSession, path: str, schema) -> DataFrame:
 
 
 def append_new(rows: DataFrame, path: str, keys: list[str]) -> int:
-    """Appends the rows whose key isn't in the log yet, one row a key; the number appended. A rerun appends nothing."""
+    """Appends the rows whose key isn't in the log yet, one row a key; the number appended. A rerun appends nothing. Of rows that share
+    a key, the one with the least digest of its columns is kept, on every run the same."""
     done = _read(rows.sparkSession, path, rows.schema).select(*keys).distinct()
-    fresh = rows.dropDuplicates(keys).join(done, keys, "left_anti").persist()
+    rest = [c for c in rows.columns if c not in keys]
+    one = rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.xxhash64(*rest)).alias("_x")).select(*keys, "_x.*").select(*rows.columns) if rest else rows.dropDuplicates(keys)
+    fresh = one.join(done, keys, "left_anti").persist()
     try:
         n = fresh.count()
         if n:

@@ -115,3 +115,12 @@ def test_size_fit_resamples_gives_the_2000_of_the_sql(spark):
         db.execute(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{data}/{f}'")
     want = {b: (beta, n) for b, beta, n in db.execute(f"SELECT b, beta, n FROM ({registry.oracle_sql()['size_fit_resamples']})").fetchall()}
     assert len(want) == 2000 and all(abs(got[b][0] - want[b][0]) < 1e-4 and got[b][1] == want[b][1] for b in want)
+
+
+def test_intervals_of_values_are_those_of_the_rows(spark):
+    x = [[0.0, 0.25, 0.5, 1.0][i % 4] for i in range(80)]
+    rows = spark.createDataFrame([("g", v) for v in x] + [("h", 0.5), ("g", None)], "k string, v double")
+    got = {r.k: r for r in stats.value_interval(rows, ["k"], "v").collect()}
+    means = np.random.default_rng(1).choice(np.array(x), size=(10_000, 80), replace=True).mean(axis=1)
+    assert got["g"].n == 80 and got["g"].point == sum(x) / 80 and np.abs(np.quantile(means, [0.025, 0.975]) - [got["g"].ci_low, got["g"].ci_high]).max() < 0.01
+    assert (got["h"].n, got["h"].ci_low, got["h"].ci_high) == (1, 0.5, 0.5)
