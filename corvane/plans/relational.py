@@ -134,6 +134,9 @@ _CELLS = "c AS (SELECT * FROM ladder QUALIFY row_number() OVER (PARTITION BY mod
 _OPS = r"regexp_extract_all({c}, '\b((?:arith|memref|linalg|func|stablehlo|scf|math|cf|tensor|vector|affine)\.[a-z_]+)\b', 1)"
 _KEEP = r"'`[^`]+`|\b(?:i1|i8|i16|i32|i64|f16|f32|f64|index)\b|(?:tensor|memref)<[^>]*>|\b\d+\b'"
 SQL = {
+    # The two definitions' arity and how many types the first operand may have, read off by hand.
+    "definition_lattice": r"""WITH v AS (SELECT op FROM (SELECT unnest(regexp_extract_all(mlir, '\b((?:arith|memref|linalg|func|stablehlo|scf|math|cf|tensor|vector|affine)\.[a-z_]+)\b', 1)) AS op FROM train_v1) GROUP BY op HAVING count(*) >= 5)
+      SELECT t.*, mnemonic IN (SELECT string_split(op, '.')[-1] FROM v) AS in_pool FROM (VALUES ('addi', 2, 2, 6), ('load', 1, 1000000, 1)) AS t(mnemonic, least, most, n_first)""",
     "program_source": "WITH g AS (SELECT row_id, 'gold' AS kind FROM train_v1 WHERE mlir IS NOT NULL UNION ALL SELECT min(row_id), 'generated' FROM ladder WHERE generated IS NOT NULL AND parse_valid AND constraint_stack = 'none' GROUP BY generated) SELECT row_id, kind FROM g QUALIFY row_number() OVER (PARTITION BY kind ORDER BY md5('1:' || row_id)) <= 200",
     "rewritten_pool": f"WITH n AS (SELECT row_id, nl, regexp_replace(nl, 'constant|`', 'fixed', 'g') AS new FROM train_v1 WHERE nl IS NOT NULL), k AS (SELECT *, length(new) >= 10 AND lower(new) <> lower(nl) AND len(list_filter(regexp_extract_all(nl, {_KEEP}), lambda x: NOT list_contains(regexp_extract_all(new, {_KEEP}), x))) = 0 AS ok FROM n) SELECT row_id, md5(CASE WHEN ok THEN new ELSE nl END) AS digest, ok AS rewritten FROM k",
     "shared_ops": f"WITH a AS (SELECT op, count(*) AS a FROM (SELECT unnest({_OPS.format(c='mlir')}) AS op FROM train_v1) GROUP BY 1), b AS (SELECT op, count(*) AS b FROM (SELECT unnest({_OPS.format(c='generated')}) AS op FROM ladder) GROUP BY 1) SELECT op, least(coalesce(a, 0), coalesce(b, 0)) AS shared, greatest(coalesce(a, 0), coalesce(b, 0)) AS joined FROM a FULL JOIN b USING (op)",
