@@ -187,11 +187,16 @@ def p3_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("row_id", "n_chars", "n_spans", "n_shared", F.when(F.col("n_chars") > 0, F.col("n_shared") / F.col("n_chars")).otherwise(0.0).alias("share"))
 
 
-SQL = {
-    # All windows as strings: for small tables.
-    "p3_found": f"""
+# All windows as strings: for small tables.
+_WINDOWS = f"""
   WITH t AS (SELECT row_id, mlir AS t FROM train_v1 UNION ALL SELECT row_id, generated FROM ladder),
-  w AS (SELECT row_id, substr(t, i, {K}) AS s FROM (SELECT row_id, t, unnest(range(1, length(t) - {K - 2})) AS i FROM t)),
-  m AS (SELECT s FROM w GROUP BY s HAVING min(row_id) < max(row_id))
-  SELECT DISTINCT row_id FROM w SEMI JOIN m USING (s)"""
+  w AS (SELECT row_id, i, substr(t, i, {K}) AS s FROM (SELECT row_id, t, unnest(range(1, length(t) - {K - 2})) AS i FROM t)),
+  m AS (SELECT s FROM w GROUP BY s HAVING min(row_id) < max(row_id))"""
+SQL = {
+    "p3_found": f"{_WINDOWS} SELECT DISTINCT row_id FROM w SEMI JOIN m USING (s)",
+    # A span ends where no shared window begins within or right behind it.
+    "p3_coverage": f"""{_WINDOWS}, f AS (SELECT row_id, i, (i > lag(i) OVER (PARTITION BY row_id ORDER BY i) + {K}) IS NOT FALSE AS new FROM w SEMI JOIN m USING (s)),
+  n AS (SELECT row_id, i, count(*) FILTER (new) OVER (PARTITION BY row_id ORDER BY i) AS span FROM f), p AS (SELECT row_id, span, max(i) - min(i) + {K} AS c FROM n GROUP BY 1, 2),
+  c AS (SELECT row_id, count(*) AS n_spans, sum(c)::BIGINT AS n_shared FROM p GROUP BY 1)
+  SELECT row_id, length(t)::INT AS n_chars, coalesce(n_spans, 0)::INT AS n_spans, coalesce(n_shared, 0) AS n_shared, CASE WHEN length(t) > 0 THEN coalesce(n_shared, 0) / length(t) ELSE 0.0 END AS share FROM t LEFT JOIN c USING (row_id) WHERE t IS NOT NULL""",
 }
