@@ -5,7 +5,7 @@ likelihood), copies_question, refusal, other_language.
 
 other_language: the posteriors of the question's and of the answer's language, by naive Bayes over character n-grams (1 to 3) within
 words. The classes are the labels of documents but for `und`, and one class more for what none of them explains, where all n-grams
-are alike: a script or language that the model never saw. The pair differs if the languages agree with a probability below AGREE;
+are alike, in any script: a script or language that the model never saw. A letter's script counts beside its n-grams. The pair differs if the languages agree with a probability below AGREE;
 a text of few letters has a flat posterior and proves nothing. Fitted on about PER_LANGUAGE documents of each label, chosen by hash:
 a documented bound. The model has BUCKETS hashed n-grams a label. Words of the program (names with digits, underscores or inner
 capitals, anything in backquotes, sigils) are not prose.
@@ -36,6 +36,7 @@ from corvane.llm.truncation import answers, is_program, judged
 from corvane.store import bounded, table, written
 
 PER_LANGUAGE, LABELS, BUCKETS, AGREE, FREE = 400, 200, 1 << 16, 0.02, 0.2
+SCRIPTS, OTHER_SCRIPT = 1024, 1e-3
 COPY_SHARE = 0.55
 RATIO, ROUNDS = 0.0, 5
 #: Where the model of refusals starts from. Few words, which needn't be in most refusals.
@@ -59,6 +60,11 @@ def ngram_ids(word: str) -> list[int]:
     return [zlib.crc32(w[i : i + n].encode()) % BUCKETS for n in (1, 2, 3) for i in range(len(w) - n + 1)]
 
 
+def script_ids(word: str) -> list[int]:
+    """Of each letter, the stretch of 256 code points that it is in: what tells scripts apart."""
+    return [BUCKETS + (ord(c) >> 8) % SCRIPTS for c in word]
+
+
 def fit_languages(docs: DataFrame) -> dict:
     """{langs, log}: the labels and one more, and the log-likelihood of each bucket under them. One pass over docs counts the n-grams of
     the sample where it stands; only the counts, at most LABELS * BUCKETS of them, reach the driver. More labels than LABELS are an error."""
@@ -68,7 +74,7 @@ def fit_languages(docs: DataFrame) -> dict:
         raise ValueError(f"more than {LABELS} language labels")
     langs = [r["lang"] for r in labels]
     if not langs:
-        return {"langs": [], "log": np.zeros((0, BUCKETS), "float32")}
+        return {"langs": [], "log": np.zeros((0, BUCKETS + SCRIPTS), "float32")}
     share = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, PER_LANGUAGE / r["count"])) for r in labels], "lang string, share double")
     place = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 33) / float(1 << 31)
     sample = told.join(F.broadcast(share), "lang").filter(place < F.col("share")).select("lang", own_words(F.col("text")).alias("text"))
@@ -77,25 +83,29 @@ def fit_languages(docs: DataFrame) -> dict:
         counts: dict[str, np.ndarray] = {}
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                c = counts.setdefault(lang, np.zeros(BUCKETS, np.int64))
+                c = counts.setdefault(lang, np.zeros(BUCKETS + SCRIPTS, np.int64))
                 for w in _WORD.findall(text.lower()):
                     np.add.at(c, ngram_ids(w), 1)
+                    np.add.at(c, script_ids(w), 1)
         for lang, c in counts.items():
             at = np.flatnonzero(c)
             yield pa.record_batch([pa.array([lang] * len(at)), pa.array(at.astype(np.int32)), pa.array(c[at])], ["lang", "bucket", "n"])
 
     got = sample.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros((len(langs), BUCKETS))
-    counts[got["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(int), got["bucket"].to_numpy(int)] = got["n"]
+    every = np.zeros((len(langs), BUCKETS + SCRIPTS))
+    every[got["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(int), got["bucket"].to_numpy(int)] = got["n"]
+    counts, scripts = every[:, :BUCKETS], every[:, BUCKETS:]
     n, kinds = counts.sum(1, keepdims=True), (counts > 0).sum(1, keepdims=True)
     free = np.maximum(FREE, kinds / np.maximum(n + kinds, 1))  # the share of all buckets alike: at least as often as a new kind was met
     log = np.log((1 - free) * counts / np.maximum(n, 1) + free / BUCKETS)
-    return {"langs": [*langs, ""], "log": np.vstack([log, np.full((1, BUCKETS), -np.log(BUCKETS))]).astype("float32")}
+    script = np.log((1 - OTHER_SCRIPT) * scripts / np.maximum(scripts.sum(1, keepdims=True), 1) + OTHER_SCRIPT / SCRIPTS)
+    log = np.hstack([log / 3, script])  # each letter is in three n-grams, so their likelihoods count a third
+    unseen = np.hstack([np.full((1, BUCKETS), -np.log(BUCKETS) / 3), np.zeros((1, SCRIPTS))])  # it writes in whatever script is met
+    return {"langs": [*langs, ""], "log": np.vstack([log, unseen]).astype("float32")}
 
 
 def posteriors(model: dict):
-    """A function from texts to the posterior of each of the model's languages, all alike before. Each letter is in three n-grams, so
-    their likelihoods count a third."""
+    """A function from texts to the posterior of each of the model's languages, all alike before."""
     log, known = model["log"], {}
 
     def one(text: str | None) -> np.ndarray:
@@ -103,7 +113,7 @@ def posteriors(model: dict):
         for w in _WORD.findall((text or "").lower()):
             v = known.get(w)
             if v is None:
-                v = log[:, ngram_ids(w)].sum(1) / 3
+                v = log[:, ngram_ids(w) + script_ids(w)].sum(1)
                 if len(known) < 200_000:
                     known[w] = v
             total = total + v

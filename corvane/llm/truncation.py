@@ -135,7 +135,7 @@ def measured(rows: DataFrame) -> DataFrame:
                 if digest not in seen:  # copies within a task count once
                     seen.add(digest)
                     inner.update(zip(whole, whole[1:], whole[2:], last[:-1]))
-                while len(last) > 1 and whole[-1] in _QUOTES and last[-2].rstrip("~") in ("$", "}", "."):
+                while len(last) > 1 and (whole[-1] == ";" or (whole[-1] in _QUOTES and last[-2].rstrip("~") in ("$", "}", "."))):
                     whole.pop()
                     last.pop()
                 ends.append((*whole[-3:], last[-1]) if last else (None,) * 4)
@@ -170,7 +170,7 @@ def spikes(rows: DataFrame) -> DataFrame:
 def end_model(base: DataFrame) -> DataFrame:
     """(a, b, t, c, p, floor) of all last tokens: the likelihood of an end there, and the rate of ends at words in lines of that kind.
 
-    A last word t may be half of a longer one, so what goes on is all words behind (a, b) that begin with t."""
+    A last word t may be half of a longer one, so what goes on is all words behind (a, b) that begin with t, and all names."""
     keys = ["a", "b", "t", "c"]
     ends = base.filter("n is null and c is not null").groupBy(keys).agg(F.count_distinct("digest").alias("e"))
     inner = base.filter("n is not null").groupBy(keys).agg(F.sum("n").alias("i"))
@@ -181,7 +181,10 @@ def end_model(base: DataFrame) -> DataFrame:
     floor = F.when(F.col("c").endswith("~"), rates.get("w~", 0.0)).otherwise(rates.get("w", 0.0))
     begins = F.when(F.col("t").rlike(r"^\p{L}"), F.transform(F.sequence(F.lit(1), F.length("t")), lambda k: F.left("t", k))).otherwise(F.array("t"))
     on = both.filter("i > 0").select("a", "b", "c", "i", F.explode(begins).alias("t")).groupBy(keys).agg(F.sum("i").alias("on"))
-    got = both.filter("e > 0").join(on, keys, "left").na.fill(0, ["on"]).join(sums(3, "a", "b", "c"), ["a", "b", "c"]).join(sums(2, "b", "c"), ["b", "c"]).join(sums(1, "c"), "c")
+    names = both.filter("t = '<n>'").groupBy("a", "b", "c").agg(F.sum("i").alias("names"))  # any of them may begin with t
+    on = both.filter("e > 0").join(on, keys, "left").join(names, ["a", "b", "c"], "left").na.fill(0, ["on", "names"])
+    on = on.withColumn("on", F.col("on") + F.when(F.col("t").rlike(r"^\p{L}"), F.col("names")).otherwise(0))
+    got = on.join(sums(3, "a", "b", "c"), ["a", "b", "c"]).join(sums(2, "b", "c"), ["b", "c"]).join(sums(1, "c"), "c")
     less = lambda e, n, p: (F.greatest(F.col(e) - 1, F.lit(0)) + PRIOR * p) / (F.greatest(n - 1, F.lit(0)) + PRIOR)
     p = less("e", F.col("e") + F.col("on"), less("e3", F.col("n3"), less("e2", F.col("n2"), less("e1", F.col("n1"), floor))))
     return got.select(*keys, p.alias("p"), floor.alias("floor"))
