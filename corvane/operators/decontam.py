@@ -7,7 +7,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.text import norm_mlir, norm_nl, word_grams
@@ -49,15 +49,18 @@ def report(ruled: DataFrame) -> DataFrame:
     return ruled.groupBy("reason").agg(F.count("*").alias("n"))
 
 
-def gram_sets(rows: DataFrame, n: int) -> DataFrame:
-    """(id, text) -> (id, grams): the distinct 64-bit hashes of each text's runs of n tokens, sorted."""
+def gram_rows(rows: DataFrame, n: int, side: int, counted: bool = False) -> DataFrame:
+    """(id, text) -> (side, id, g): the distinct 64-bit hashes of each text's runs of n tokens. counted: and a row COUNT of each text with their number."""
     token = re.compile(r"\w+|[^\w\s]", re.A)
 
+    def batch(kind: int, ids: np.ndarray, g: np.ndarray) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(np.full(len(ids), kind, np.int8)), pa.array(ids), pa.array(g)], ["side", "id", "g"])
+
     def run(batches):
         known: dict[str, int] = {}
         for b in batches:
-            sets = []
-            for text in b.column(1).to_pylist():
+            ids, at, sets, held = b.column(0).to_numpy(zero_copy_only=False), 0, [], 0
+            for i, text in enumerate(b.column(1).to_pylist()):
                 t = token.findall(text)
                 if len(known) > 1 << 20:
                     known.clear()
@@ -69,58 +72,94 @@ def gram_sets(rows: DataFrame, n: int) -> DataFrame:
                     h = (h ^ codes[k : k + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
                     h ^= h >> np.uint64(29)
                 sets.append(np.unique(h).view(np.int64))
-            yield pa.record_batch([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "grams"])
+                held += len(sets[-1])
+                if held > 1 << 17 or i + 1 == len(ids):
+                    sizes = np.array([len(x) for x in sets], np.int64)
+                    yield batch(side, np.repeat(ids[at : i + 1], sizes), np.concatenate(sets))
+                    if counted:
+                        yield batch(COUNT, ids[at : i + 1], sizes)
+                    at, sets, held = i + 1, [], 0
+
+    return rows.select(F.col("id").cast("long"), "text").mapInArrow(run, "side byte, id long, g long")
+
+
+#: Sides of gram_rows.
+GIVEN, ASKED, COUNT = 0, 1, 2
+
+
+def in_both(rows: DataFrame) -> DataFrame:
+    """rows (side, id, g) whose g is given and asked, and those that are counts. Each gram is moved once, with its id; what one side
+    alone holds ends here."""
+    w = Window.partitionBy("g")
+    real = F.when(F.col("side") != COUNT, F.col("side"))
+    told = rows.withColumn("least", F.min(real).over(w)).withColumn("most", F.max(real).over(w))
+    return told.filter((F.col("least") < F.col("most")) | (F.col("side") == COUNT)).select("side", "id", "g")
+
 
-    return rows.select(F.col("id").cast("long"), "text").mapInArrow(run, "id long, grams array<long>")
+#: Pairs of sets that a level of most_shared() counts, at least, and for each gram that is asked; and grams of asked sets that are sent to the pairs.
+PAIRS, PAIRS_PER_GRAM, SENT = 1 << 20, 4, 1 << 20
 
 
-def most_shared(asked: DataFrame, given: DataFrame) -> DataFrame:
-    """asked (key, grams) and given (gid, grams) -> (key, best): the most grams that an asked set shares with one given set.
+def most_shared(asked: DataFrame, given: DataFrame, pairs: int = PAIRS, per_gram: int = PAIRS_PER_GRAM) -> DataFrame:
+    """asked (key, grams) and given (gid, grams) -> (key, best): the most grams that an asked set shares with one given set, if any.
 
-    Only grams that both sides have matter; sets that are equal in those are one. Each asked set follows its grams, rarest first, in
-    rounds that grow fourfold, to candidates that are counted in full; it is done once what is left can't beat its best. So grams that
-    nearly all sets hold are only followed where nothing else is shared."""
+    In levels. Pairs that meet in a gram which few given sets hold are counted in full. Then these grams are taken out of all sets, which
+    changes nothing for pairs that haven't met, and sets that have become equal are one: so what nearly all sets hold is left in few sets
+    when it's followed. An asked set is done once what is left of it can't beat its best."""
     digest = lambda g: F.md5(F.array_join(F.transform(g, lambda x: x.cast("string")), ","))
-    a = asked.select("key", F.explode("grams").alias("g"))
-    index = written(given.select("gid", F.explode("grams").alias("g")).join(a.select("g").distinct(), "g", "left_semi"), "index")
-    sets = index.groupBy("gid").agg(F.sort_array(F.collect_list("g")).alias("of")).groupBy(digest(F.col("of")).alias("gid")).agg(F.first("of").alias("of"))
-    sets = written(sets, "given-sets")
-    index = sets.select("gid", F.explode("of").alias("g"))
-    often = index.groupBy("g").agg(F.count("*").alias("f"))
-    known = a.join(often, "g").groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "g"))), lambda x: x["g"]).alias("ord"))
-    known = written(known.withColumn("same", digest(F.col("ord"))), "known")
-    now = known.groupBy("same").agg(F.first("ord").alias("ord")).withColumn("best", F.lit(0))
-    done, at, step = [], 0, 2
+    gather = F.sort_array(F.collect_list("g")).alias("of")
+    known = written(asked.select("key", F.sort_array("grams").alias("of")).withColumn("d", digest(F.col("of"))), "known")
+    first = written(known.groupBy("d").agg(F.min("key").alias("same"), F.first("of").alias("of")), "known-sets")
+    now, sets, done = first.select("same", "of", F.lit(0).alias("best")), given.select(F.col("gid").alias("t"), F.col("grams").alias("of")), []
     while True:
         now = written(now, "asked")
-        done.append(now.filter(F.size("ord") - at <= F.col("best")).select("same", "best"))
-        now = now.filter(F.size("ord") - at > F.col("best"))
+        done.append(now.filter(F.size("of") <= F.col("best")).select("same", "best"))
+        now = now.filter(F.size("of") > F.col("best"))
         if now.isEmpty():
             break
-        met = now.select("same", F.explode(F.slice("ord", at + 1, step)).alias("g")).join(index, "g").select("same", "gid").distinct()
-        full = met.join(now.select("same", "ord"), "same").join(sets, "gid")
-        got = full.groupBy("same").agg(F.max(F.size(F.array_intersect("ord", "of"))).alias("more"))
-        now = now.join(got, "same", "left").select("same", "ord", F.greatest("best", F.coalesce("more", F.lit(0))).alias("best"))
-        at, step = at + step, step * 4
+        a = written(now.groupBy("of").agg(F.min("same").alias("a")), "asked-sets")
+        each_a = a.select("a", F.explode("of").alias("g"))
+        asks = each_a.groupBy("g").agg(F.count("*").alias("na"))
+        sets = sets.select("t", F.explode("of").alias("g")).join(asks, "g", "left_semi").groupBy("t").agg(gather)
+        sets = written(sets.groupBy("of").agg(F.min("t").alias("t")), "given-sets")
+        each_t = sets.select("t", F.explode("of").alias("g"))
+        often = written(each_t.groupBy("g").agg(F.count("*").alias("nt")).join(asks, "g"), "often")
+        # A row for each power of two.
+        steps = sorted(often.groupBy(F.ceil(F.log2("nt")).alias("k")).agg(F.sum(F.col("na") * F.col("nt")).alias("pairs"), F.sum("na").alias("n")).collect())
+        limit, room = 0, max(pairs, per_gram * sum(r.n for r in steps))
+        for r in steps:
+            room -= r.pairs
+            if limit and room < 0:
+                break
+            limit = 1 << r.k
+        rare, hot = often.filter(F.col("nt") <= limit).select("g"), often.filter(F.col("nt") > limit).select("g")
+        met = each_a.join(rare, "g").join(each_t, "g").select("a", "t").distinct()
+        of_a = a.select("a", F.col("of").alias("of_a"))
+        full = met.join(sets, "t").join(F.broadcast(of_a) if sum(r.n for r in steps) <= SENT else of_a, "a")  # sent last, so that only pairs of ids are moved
+        got = full.groupBy("a").agg(F.max(F.size(F.array_intersect("of_a", "of"))).alias("more"))
+        left = each_a.join(hot, "g").groupBy("a").agg(gather).withColumnRenamed("of", "left")
+        link = a.join(got, "a", "left").join(left, "a", "left").select("of", "more", "left")
+        best = F.greatest("best", F.coalesce("more", F.lit(0))).alias("best")
+        now = now.join(link, "of").select("same", F.coalesce("left", F.array().cast(first.schema["of"].dataType)).alias("of"), best)
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    return known.select("key", "same").join(out, "same").select("key", "best")
+    return known.select("key", "d").join(first.select("d", "same"), "d").join(out.filter("best > 0"), "same").select("key", "best")
 
 
 def memorized(gens: DataFrame, golds: DataFrame, n: int = 8) -> DataFrame:
     """gens (id, text), golds (gold_id, text) -> (id, n_grams, best, exact): the most token n-grams shared with one gold, as a share.
 
-    Equal gram sets are asked for once; grams are compared by 64-bit hashes. An exact copy is told by a digest of the squeezed text. Texts
-    of fewer than n tokens have no grams and are 0."""
+    Ids are unique. Grams are compared by 64-bit hashes, and those of one side alone are dropped first. An exact copy is told by a digest
+    of the squeezed text. Texts of fewer than n tokens have no grams and are 0."""
     squeeze = lambda s: F.md5(F.trim(F.regexp_replace(s, r"\s+", " ")))
-    key = lambda g: F.md5(F.array_join(F.transform(g, lambda x: x.cast("string")), ","))
     gens, golds = gens.filter("text is not null"), golds.filter("text is not null")
-    g = written(gram_sets(gens, n).select("id", F.size("grams").alias("n_grams"), key(F.col("grams")).alias("key"), "grams"), "gram-sets")
-    asked = g.filter("n_grams > 0").groupBy("key").agg(F.first("grams").alias("grams"))
-    given = gram_sets(golds.select(F.col("gold_id").alias("id"), "text"), n).select(F.col("id").alias("gid"), "grams")
-    best = most_shared(asked, given)
+    rows = gram_rows(gens, n, ASKED, counted=True).unionByName(gram_rows(golds.select(F.col("gold_id").alias("id"), "text"), n, GIVEN))
+    shared = written(in_both(rows), "shared-grams")
+    of = lambda side, name: shared.filter(F.col("side") == side).groupBy(F.col("id").alias(name)).agg(F.collect_list("g").alias("grams"))
+    best = most_shared(of(ASKED, "key"), of(GIVEN, "gid")).withColumnRenamed("key", "id")
     exact = bounded(written(golds.select(squeeze(F.col("text")).alias("s")).distinct(), "gold-digests"))
     same = gens.select("id", squeeze(F.col("text")).alias("s")).join(exact, "s", "left_semi").select("id", F.lit(True).alias("exact"))
-    out = g.select("id", "n_grams", "key").join(best, "key", "left").join(same, "id", "left")
+    g = shared.filter(F.col("side") == COUNT).select("id", F.col("g").cast("int").alias("n_grams"))
+    out = g.join(best, "id", "left").join(same, "id", "left")
     return out.select("id", "n_grams", F.when(F.col("n_grams") > 0, F.coalesce("best", F.lit(0)) / F.col("n_grams")).otherwise(0.0).alias("best"), (F.coalesce("exact", F.lit(False)) & (F.col("n_grams") > 0)).alias("exact"))

@@ -140,3 +140,13 @@ def test_most_shared_against_brute_force(spark):
     got = {r.key: r.best for r in decontam.most_shared(spark.createDataFrame(asked, "key string, grams array<long>"), spark.createDataFrame(given, "gid long, grams array<long>")).collect()}
     want = {k: max(len(set(a) & set(g)) for _, g in given) for k, a in asked}
     assert got == {k: n for k, n in want.items() if n}
+
+
+def test_most_shared_by_levels(spark):
+    rng = random.Random(8)
+    given = [(i, sorted({i % 50, 60 + i % 7, 70 + i % 2, 80, 81} | set(rng.sample(range(50), 3)))) for i in range(200)]
+    asked = [(i, sorted(set(rng.sample(range(90), rng.randint(1, 30))))) for i in range(60)]
+    rows = lambda x, k: spark.createDataFrame(x, f"{k} long, grams array<long>")
+    got = {r.key: r.best for r in decontam.most_shared(rows(asked, "key"), rows(given, "gid"), 1, 0).collect()}
+    want = {k: max(len(set(a) & set(g)) for _, g in given) for k, a in asked}
+    assert got == {k: n for k, n in want.items() if n}

@@ -1,10 +1,12 @@
 import math
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from corvane import store
 from corvane.operators import components, decontam, fit, generators, ladder, passk, probe, split, stats
 from corvane.sources import jsonl, ods, sinks
 from corvane.streaming import ingest
@@ -34,6 +36,17 @@ def test_memorization(spark):
     assert got == {1: (5, 1.0, True), 2: (6, 0.3333, False), 3: (0, 0.0, False)}
 
 
+def test_memorization_keeps_no_grams_of_one_side_alone(spark):
+    rng = random.Random(3)
+    text = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(400))
+    gens, golds = ([(i, text() + " a b c d e f g h") for i in range(100)] for _ in range(2))
+    before = len(store._tables)
+    got = decontam.memorized(spark.createDataFrame(gens, "id long, text string"), spark.createDataFrame(golds, "gold_id long, text string")).collect()
+    assert {(r.n_grams, round(r.best * r.n_grams), r.exact) for r in got} == {(401, 1, False)} and len(got) == 100
+    kept = sum(p.stat().st_size for t in store._tables[before:] for p in Path(t.removeprefix("file:")).rglob("*.parquet"))
+    assert kept < 8 * 401 * 100 / 2  # half of what the hashes of the generations take
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5, 5)]
