@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import hashlib
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -230,19 +231,23 @@ def candidate_rows(spark, d):
 def trial_inputs(spark, d):
     """Per gold that the harness can run, and trial: the inputs drawn for it and the driver that runs it, as digests."""
 
+    md5 = lambda s: hashlib.md5(s.encode()).hexdigest()
+
     @F.pandas_udf("inputs string, driver string")
     def run(pid: pd.Series, trial: pd.Series, name: pd.Series, args: pd.Series, ret: pd.Series) -> pd.DataFrame:
         rows = []
         for p, k, n, a, r in zip(pid, trial, name, args, ret):
             types = list(a)
-            values = harness.draws(str(p), int(k), types)
+            values = harness.drawn(str(p), int(k), types)
             made = harness.memref_driver(n, types, values, int(k), r) if any(t.startswith("memref") for t in types) else harness.driver(n, types, values, r)
-            rows.append((repr(values), made))
+            rows.append((md5(harness.shown(values)), md5(made)))  # after the driver, whose literals it is told from
         return pd.DataFrame(rows, columns=["inputs", "driver"])
 
     sig = table(spark, d, "eval_pool").filter("gold_mlir is not null").select("prompt_id", T.public_signature(F.col("gold_mlir")).alias("s"))
     each = sig.filter(T.exclusion(F.col("s")).isNull()).select("prompt_id", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("trial"), "s")
-    return each.select("prompt_id", "trial", run("prompt_id", "trial", "s.name", "s.args", "s.ret").alias("r")).select("prompt_id", "trial", F.md5("r.inputs").alias("inputs"), F.md5("r.driver").alias("driver"))
+    # A row is up to some MB of literals, so a small table is spread over all cores.
+    parts = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return each.repartition(parts, "prompt_id", "trial").select("prompt_id", "trial", run("prompt_id", "trial", "s.name", "s.args", "s.ret").alias("r")).select("prompt_id", "trial", "r.*")
 
 
 def unwrapped_programs(spark, d):

@@ -1,5 +1,8 @@
+import hashlib
 import math
+import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -89,3 +92,25 @@ def test_harness():
     assert [(k, n) for k, n, _, _ in events] == [("def", "a"), ("def", "b"), ("use", "a"), ("use", "c")]
     at = events[2][2]
     assert re.search(r"addi %(b|c), %c", harness.corrupted(text, at, ["a", "b", "c"])) and harness.corrupted(text, at, ["a"]) == text
+
+
+def test_drawn_is_random_randint_and_fast():
+    types = ["i32", "memref<?x2x3xf32>", "index", "memref<2x?xi1>", "memref<4xbf16>", "i1", "memref<0x2xi64>", "f64"]
+    rng = random.Random(int(hashlib.sha256(b"k/2").hexdigest()[:12], 16))
+    one = {"f": lambda: rng.randint(-32, 32) / 4, "1": lambda: rng.randint(0, 1), "x": lambda: rng.randint(0, 5)}
+    kinds, sizes = ["i", "f", "x", "1", "i", "1", "i", "f"], [None, 30, None, 10, 4, None, 0, None]
+    draw = lambda k: one.get(k, lambda: rng.randint(-50, 50))()
+    want = [draw(k) if n is None else [draw(k) for _ in range(n)] for k, n in zip(kinds, sizes)]
+    drawn = harness.drawn("k", 2, types)
+    assert repr(harness.draws("k", 2, types)) == repr(want) == harness.shown(drawn)
+    assert harness.memref_driver("f", types, drawn, 2) == harness.memref_driver("f", types, want, 2) and harness.shown(drawn) == repr(want)
+    began = time.process_time()
+    for trial in range(2):
+        values = harness.drawn("k", trial, ["memref<600x700xf32>"])
+        harness.memref_driver("f", ["memref<600x700xf32>"], values, trial)
+        harness.shown(values)
+    spent = time.process_time() - began
+    began = time.process_time()
+    for _ in range(840_000):
+        rng.randint(-32, 32)
+    assert spent < time.process_time() - began  # all of it takes less than the draws alone, one by one
