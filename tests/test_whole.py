@@ -2,11 +2,14 @@
 
 import math
 import os
+import random
+from pathlib import Path
 
 import duckdb
 import numpy as np
 import pytest
 
+from corvane import store
 from corvane.operators import stats
 from corvane.plans import evaluation, registry
 
@@ -124,3 +127,17 @@ def test_intervals_of_values_are_those_of_the_rows(spark):
     means = np.random.default_rng(1).choice(np.array(x), size=(10_000, 80), replace=True).mean(axis=1)
     assert got["g"].n == 80 and got["g"].point == sum(x) / 80 and np.abs(np.quantile(means, [0.025, 0.975]) - [got["g"].ci_low, got["g"].ci_high]).max() < 0.01
     assert (got["h"].n, got["h"].ci_low, got["h"].ci_high) == (1, 0.5, 0.5)
+
+
+@pytest.mark.parametrize("name", ["memorization_summary", "portability"])
+def test_overlap_queries_keep_no_grams_of_one_side_alone(spark, tmp_path, name):
+    rng = random.Random(5)
+    text = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(400)) + " a b c d e f g h"
+    ladder = [(1000 + i, "none", "m", text(), True, False) for i in range(100)]
+    spark.createDataFrame(ladder, "row_id long, constraint_stack string, method string, generated string, parse_valid boolean, verify_valid boolean").write.parquet(f"{tmp_path}/ladder.parquet")
+    spark.createDataFrame([(i, text()) for i in range(100)], "row_id long, mlir string").write.parquet(f"{tmp_path}/train_v1.parquet")
+    before = len(store._tables)
+    r = registry.queries()[name](spark, str(tmp_path)).first()
+    assert r["n"] == 100 and r["n_exact"] == 0 and math.isclose(r["max_best" if name == "memorization_summary" else "max_overlap"], 1 / 401)
+    kept = sum(p.stat().st_size for t in store._tables[before:] for p in Path(t.removeprefix("file:")).rglob("*.parquet"))
+    assert kept < 8 * 401 * 100 / 2  # half of what the hashes of the generations take
