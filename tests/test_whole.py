@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 from corvane import store
-from corvane.operators import stats
+from corvane.operators import decontam, stats
 from corvane.plans import evaluation, registry
 
 
@@ -141,3 +141,32 @@ def test_overlap_queries_keep_no_grams_of_one_side_alone(spark, tmp_path, name):
     assert r["n"] == 100 and r["n_exact"] == 0 and math.isclose(r["max_best" if name == "memorization_summary" else "max_overlap"], 1 / 401)
     kept = sum(p.stat().st_size for t in store._tables[before:] for p in Path(t.removeprefix("file:")).rglob("*.parquet"))
     assert kept < 8 * 401 * 100 / 2  # half of what the hashes of the generations take
+
+
+def test_memorization_summary_moves_less_than_the_hashes_of_one_side_alone(spark, tmp_path):
+    rng = random.Random(7)
+    text = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(800)) + " a b c d e f g h"
+    spark.createDataFrame([(1000 + i, "none", text()) for i in range(200)], "row_id long, constraint_stack string, generated string").write.parquet(f"{tmp_path}/ladder.parquet")
+    spark.createDataFrame([(i, text()) for i in range(200)], "row_id long, mlir string").write.parquet(f"{tmp_path}/train_v1.parquet")
+
+    def moved():
+        sc = spark.sparkContext._jsc.sc()
+        sc.listenerBus().waitUntilEmpty(30_000)
+        ran = sc.statusStore().executorList(False)
+        return sum(ran.apply(i).totalShuffleWrite() for i in range(ran.size()))
+
+    before = moved()
+    r = registry.queries()["memorization_summary"](spark, str(tmp_path)).first()
+    assert (r["n"], r["n_half"], r["n_exact"]) == (200, 0, 0) and math.isclose(r["max_best"], 1 / 801) and math.isclose(r["mean_best"], 1 / 801, abs_tol=1e-9)
+    assert 0 < moved() - before < 8 * 801 * 400
+
+
+@pytest.mark.parametrize("room", [1, 7, 1 << 20])
+def test_most_shared_in_pieces(monkeypatch, room):
+    monkeypatch.setattr(decontam, "ROOM", room)
+    rng = random.Random(11)
+    sets = lambda n, most: [sorted(set(rng.sample(range(30), rng.randint(0, most)) + [i for i in (40, 41, 42) if rng.random() < 0.9])) for _ in range(n)]
+    asked, given = sets(80, 20), sets(120, 8)
+    of = lambda x: decontam.Sets(np.repeat(np.arange(len(x)), [len(s) for s in x]), np.array([g for s in x for g in s], np.int64), len(x))
+    for pairs, per_gram in ((1, 0), (decontam.PAIRS, decontam.PAIRS_PER_GRAM)):
+        assert decontam.shared_most(of(asked), of(given), 50, pairs, per_gram).tolist() == [max(len(set(a) & set(g)) for g in given) for a in asked]
